@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vaultweave.functions.keys import is_wikilink, note_key
+from vaultweave.operators.hierarchy import ancestors, hierarchy, resolve_paths
+from vaultweave.operators.orphans import orphan_references, orphan_report
 from vaultweave.operators.packed import rules_for, split_packed
 from vaultweave.session import table
 
@@ -26,4 +29,47 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_values(spark, sf_dir).select("field", "row_id", "pos", "value")
 
 
-QUERIES = {"p3_found": p3_found}
+def node_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, parent): every row's concept, with each note its ``depends_on`` links (null where there is none)."""
+    rows = table(spark, sf_dir, "primitives_and_foundational").select(note_key(F.col("concept")).alias("node"), "depends_on")
+    linked = split_packed(rows.where("node is not null"), "depends_on", ["node"])
+    parents = linked.where(is_wikilink(F.col("value"))).select("node", note_key(F.col("value")).alias("parent"))
+    return rows.select("node", F.lit(None).cast("string").alias("parent")).unionByName(parents)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = resolve_paths(node_links(spark, sf_dir))
+    return ancestors(paths).select(F.col("node").alias("concept"), "ancestor", "steps")
+
+
+def p2_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy(resolve_paths(node_links(spark, sf_dir)))
+
+
+def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = (("papers", "concepts_linked"), ("primitives_and_foundational", "depends_on"))
+    values = packed_values(spark, sf_dir, fields, ("row_id", "exported_at"))
+    of_papers = F.col("field") == "papers.concepts_linked"
+    refs = values.where(of_papers | is_wikilink(F.col("value"))).select(
+        F.when(of_papers, F.lit("papers")).otherwise(F.lit("primitives_and_foundational")).alias("tab"), "row_id", "pos", note_key(F.col("value")).alias("target"), "exported_at"
+    )
+    notes, concepts = (table(spark, sf_dir, t).select(note_key(F.col("name")).alias("target"), "created", "removed") for t in ("notes", "concepts"))
+    found = orphan_references(refs, notes, ["target"], "exported_at", "created", "removed", lookup=concepts)
+    return found.withColumn("period", F.date_format("exported_at", "yyyy-MM"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orphans(spark, sf_dir).select("tab", "row_id", "pos", "target", "kind", "period")
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orphan_report(_orphans(spark, sf_dir), "tab", "period")
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_hierarchy": p2_hierarchy,
+    "p3_found": p3_found,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
+}
