@@ -27,9 +27,7 @@ def note_key(c: Column) -> Column:
     final ``.md`` and outer blanks, lower case.  Null stays null; a reference
     without target (``[[#heading]]``) gives the empty string.
     """
-    t = blank_trim(c)
-    inner = F.when(is_wikilink(t), F.substring_index(F.substring_index(t, "]]", 1), "[[", -1)).otherwise(t)
+    inner = F.substring_index(F.substring_index(c, "[[", -1), "]]", 1)
     target = F.rtrim(F.substring_index(inner, "|", 1), F.lit(" \\"))
-    target = blank_trim(F.substring_index(F.substring_index(target, "#", 1), "/", -1))
-    low = F.lower(target)
-    return blank_trim(F.when(low.endswith(".md"), F.substr(low, F.lit(1), F.length(low) - 3)).otherwise(low))
+    name = F.lower(F.substring_index(F.substring_index(target, "#", 1), "/", -1))
+    return blank_trim(F.regexp_replace(name, r"\.md\s*$", ""))
