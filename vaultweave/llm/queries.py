@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaultweave.functions.keys import note_key
+from vaultweave.functions.keys import blank_trim, is_wikilink, note_key
+from vaultweave.llm.canonical import canonical_entries, map_values, unmatched_report
 from vaultweave.llm.bpe import token_counts, token_ids
 from vaultweave.llm.cooccurrence import cooccurrences
 from vaultweave.llm.packing import fill_report, pack
+from vaultweave.llm.truncation import truncated, truncation_report
+from vaultweave.operators.packed import split_packed
 from vaultweave.plans.problems import packed_values
 from vaultweave.session import table
 
@@ -17,10 +20,27 @@ TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    concepts = canonical_entries(table(spark, sf_dir, "concepts"), "concept_id", "name", "aliases")
+    typed = table(spark, sf_dir, "vault_aliases").where(F.col("canonical").isNull() & (blank_trim(F.col("alias")) != "")).select(
+        F.lit("vault_aliases.alias").alias("field"), F.col("alias_id").alias("row_id"), F.lit(1).alias("pos"), F.col("alias").alias("value")
+    )
+    values = packed_values(spark, sf_dir, (("primitives_and_foundational", "depends_on"),))
+    return map_values(typed.unionByName(values.where(~is_wikilink(F.col("value")))), "value", concepts)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mapped(spark, sf_dir).select("field", "row_id", "pos", "concept_id")
+
+
+def p1_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unmatched_report(_mapped(spark, sf_dir), "value", "field")
+
+
 def paper_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(paper, concept): the key of each value of ``concepts_linked`` with the key of its paper."""
-    values = packed_values(spark, sf_dir, (("papers", "concepts_linked"),), ("paper",))
-    return values.select(note_key(F.col("paper")).alias("paper"), note_key(F.col("value")).alias("concept"))
+    papers = table(spark, sf_dir, "papers").select(note_key(F.col("paper")).alias("paper"), "concepts_linked")
+    return split_packed(papers, "concepts_linked", ["paper"]).select("paper", note_key(F.col("value")).alias("concept"))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +68,28 @@ def p7_fill(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> D
     return fill_report(p7_containers(spark, sf_dir, tokenizers), table(spark, sf_dir, "context_budgets"), "tokens")
 
 
+def _truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    concepts = canonical_entries(table(spark, sf_dir, "concepts"), "concept_id", "name", "aliases")
+    return truncated(table(spark, sf_dir, "documents"), "doc_id", "text", "source", [names[0] for _, names in concepts if names])
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _truncated(spark, sf_dir).where("truncated").select("doc_id")
+
+
+def p8_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation_report(_truncated(spark, sf_dir), "source")
+
+
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_unmatched": p1_unmatched,
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_sources": p8_sources,
 }
 ORACLES: dict[str, str] = {}
