@@ -168,103 +168,125 @@ def _open(text: str) -> bool:
 
 
 _STATUS = {"blank": 0, "open": 1, "ended": 2, "ask": 3}
-_FOUND = (
-    "kind string, doc KEY, source string, n_chars long, n_bytes long, digest long, size long, ladder array<long>, status int, "
-    "word string, keys array<long>, opening long, key long, ends long, runs long, pauses long"
-)
-
-
-def _profile(batches: Iterator[pa.RecordBatch], mentions: frozenset[tuple[str, ...]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows ``d`` of each text; and of the task, counts of contexts ``c``, openings ``o`` and words ``w``."""
-    empty = {f.name: f for f in schema}
-
-    def rows(kind: str, n: int, **columns) -> pa.RecordBatch:
-        out = []
-        for name, f in empty.items():
-            v = columns.get(name)
-            if name == "kind":
-                out.append(pa.array([kind] * n, pa.string()))
-            elif v is None:
-                out.append(pa.nulls(n, f.type))
+_TAIL = "doc KEY, source string, n_chars long, n_bytes long, digest long, size long, ladder array<long>, status int, word string, keys array<long>, opening long"
+_EVIDENCE = "kind string, word string, key long, ends long, runs long, pauses long"
+#: Bits of the map of contexts asked about, 8 MB whatever the size of the corpus; a fuller map lets more contexts pass that nobody asks about, no fewer.
+ASKED_BITS = 1 << 26
+
+
+def _stem(text: str | None) -> tuple[str, bool]:
+    """A text without outer blanks and the marks some tools put where they cut, and whether it had such."""
+    bare = (text or "").strip(_BLANKS)
+    stem = _CLOSED.sub("", bare)
+    return stem, len(stem) < len(bare)
+
+
+def _tails(batches: Iterator[pa.RecordBatch], mentions: frozenset[tuple[str, ...]]) -> Iterator[pa.RecordBatch]:
+    """One row for each text: its sizes and hashes, how it ends, and the contexts of its last token."""
+    for block, texts in text_blocks(batches, 2):
+        stems = [_stem(t) for t in texts]
+        lines = [s[max(s.rfind("\n"), s.rfind("\r")) + 1 :] for s, _ in stems]
+        corpus = Corpus(lines, mentions)
+        tails = np.array([e - 1 if e > s else -1 for s, e in corpus.bounds], np.int64)
+        at = np.maximum(tails, 0)
+        keys = [_signed(k).tolist() for k in corpus.keys(at)]
+        heads = _signed(corpus.openings(np.minimum(corpus.line[at], len(corpus.h) - 1))).tolist()
+        status, word, ladders, sizes, asked = [], [], [], [], []
+        for k, (stem, shortened) in enumerate(stems):
+            t = tails[k]
+            if t < 0:
+                state = "blank"
+            elif _open(stem):
+                state = "open"
+            elif (corpus.ends[t] and not shortened) or stem.endswith("```"):
+                state = "ended"
             else:
-                out.append(v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v, f.type))
-        return pa.RecordBatch.from_arrays(out, schema=schema)
+                state = "ask"
+            status.append(_STATUS[state])
+            asked.append([x[k] for x in keys] if state == "ask" else [])
+            word.append(corpus.names[corpus.raw[t]] if state == "ask" and corpus.is_word[t] else None)
+            flat = " ".join(stem.split())
+            sizes.append(len(flat))
+            steps, step = [], FIRST_STEP
+            while step <= len(flat):
+                steps.append(_hash(flat[:step]))
+                step *= 2
+            ladders.append(_signed(np.array([*steps, _hash(flat)], np.uint64)).tolist())
+        long, longs = pa.int64(), pa.list_(pa.int64())
+        columns = [
+            block.column(0), block.column(1), pa.array([len(t or "") for t in texts], long), pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], long),
+            pa.array(_signed(np.array([_hash(t or "") for t in texts], np.uint64)), long), pa.array(sizes, long), pa.array(ladders, longs), pa.array(status, pa.int32()),
+            pa.array(word, pa.string()), pa.array(asked, longs), pa.array(heads, long),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, "doc source n_chars n_bytes digest size ladder status word keys opening".split())
+
 
-    def summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        return (key[starts], *(np.add.reduceat(v[order], starts) if len(key) else v for v in values))
+def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums of the values by key."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return (key[starts], *(np.add.reduceat(v[order], starts) if len(key) else v for v in values))
 
+
+def _evidence(batches: Iterator[pa.RecordBatch], mentions: frozenset[tuple[str, ...]], asked: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts of one task: contexts that are asked about ``c``, openings of lines ``o`` and words ``w``."""
     held: list[tuple[np.ndarray, ...]] = []
     openings: list[tuple[np.ndarray, ...]] = []
     words: Counter[str] = Counter()
+    names = "kind word key ends runs pauses".split()
+    long = pa.int64()
 
-    def counts() -> Iterator[pa.RecordBatch]:
-        for kind, store in (("c", held), ("o", openings)):
-            if store:
-                k, *v = summed(*(np.concatenate(x) for x in zip(*store)))
-                v += [None] * (3 - len(v))
-                for s in range(0, len(k), 100_000):
-                    cut = slice(s, s + 100_000)
-                    yield rows(kind, len(k[cut]), key=_signed(k[cut]), **{n: x[cut] for n, x in zip(("ends", "runs", "pauses"), v) if x is not None})
-                store.clear()
-        if words:
-            known = sorted(words)
-            yield rows("w", len(known), word=known, runs=[words[w] for w in known])
-            words.clear()
+    def rows(kind: str, word=None, key=None, ends=None, runs=None, pauses=None) -> pa.RecordBatch:
+        n = len(runs)
+        fill = lambda v: pa.nulls(n, long) if v is None else pa.array(v, long)
+        return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), pa.array(word or [None] * n, pa.string()), fill(key), fill(ends), fill(runs), fill(pauses)], names)
 
-    for block, texts in text_blocks(batches, 2):
-        bare = [(t or "").strip(_BLANKS) for t in texts]
-        stems = [_CLOSED.sub("", b) for b in bare]
-        corpus = Corpus(stems, mentions)
+    for block, texts in text_blocks(batches, 0):
+        corpus = Corpus([_stem(t)[0] for t in texts], mentions)
         n = len(corpus.h)
         # A text's last token is what is asked about, so it is no evidence.
-        tails = np.array([e - 1 if e > s else -1 for s, e in corpus.bounds], np.int64)
+        tails = np.array([e - 1 for s, e in corpus.bounds if e > s], np.int64)
         evidence = ~corpus.is_nl
-        evidence[tails[tails >= 0]] = False
+        evidence[tails] = False
         at = np.flatnonzero(evidence)
         nxt = np.minimum(at + 1, n - 1)
         ends = (corpus.ends[nxt] | corpus.is_nl[nxt]).astype(np.int64)
         pauses = corpus.pauses[nxt].astype(np.int64)
+        runs = 1 - ends - pauses
         for k in corpus.keys(at):
-            held.append(summed(k, ends, 1 - ends - pauses, pauses))
-        word_at = at[corpus.is_word[at]]
-        seen, times = np.unique(corpus.raw[word_at], return_counts=True)
+            bit = k & np.uint64(ASKED_BITS - 1)
+            hit = np.flatnonzero((asked[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
+            held.append(_summed(k[hit], ends[hit], runs[hit], pauses[hit]))
+        seen, times = np.unique(corpus.raw[at[corpus.is_word[at]]], return_counts=True)
         for w, c in zip(seen, times):
             words[corpus.names[w]] += int(c)
         starts = np.flatnonzero(~corpus.is_nl & (np.arange(n) == corpus.line))
         last_line = np.zeros(n, bool)
-        last_line[corpus.line[tails[tails >= 0]]] = True
-        opening = corpus.openings(starts)
-        openings.append(summed(opening, last_line[starts].astype(np.int64), np.ones(len(starts), np.int64)))
-        keys = [_signed(k).tolist() for k in corpus.keys(np.maximum(tails, 0))]
-        heads = _signed(corpus.openings(np.minimum(corpus.line[np.maximum(tails, 0)], n - 1))).tolist()
-        status, word, ladders, sizes = [], [], [], []
-        for k, (b, stem) in enumerate(zip(bare, stems)):
-            t = tails[k]
-            if t < 0:
-                status.append("blank")
-                word.append(None)
-            else:
-                shortened = len(stem) < len(b)
-                status.append("open" if _open(stem) else "ended" if (corpus.ends[t] and not shortened) or stem.endswith("```") else "ask")
-                word.append(corpus.names[corpus.raw[t]] if corpus.is_word[t] else None)
-            flat = " ".join(stem.split())
-            sizes.append(len(flat))
-            steps, step = [], FIRST_STEP
-            while step <= len(flat):
-                steps.append(_hash(flat[:step]))
-                step *= 2
-            ladders.append(_signed(np.array([*steps, _hash(flat)], np.uint64)).tolist())
-        yield rows(
-            "d", len(texts), doc=block.column(0), source=block.column(1), n_chars=[len(t or "") for t in texts],
-            n_bytes=[len((t or "").encode("utf-8", "surrogatepass")) for t in texts], digest=_signed(np.array([_hash(t or "") for t in texts], np.uint64)).tolist(),
-            size=sizes, ladder=ladders, status=[_STATUS[s] for s in status], word=word, keys=[list(x) for x in zip(*keys)], opening=heads,
-        )
-        if sum(len(x[0]) for x in held) > 3_000_000:
-            yield from counts()
-    yield from counts()
+        last_line[corpus.line[tails]] = True
+        openings.append(_summed(corpus.openings(starts), last_line[starts].astype(np.int64), np.ones(len(starts), np.int64)))
+        if sum(len(x[0]) for x in held) > 2_000_000:
+            held = [_summed(*(np.concatenate(x) for x in zip(*held)))]
+    if held:
+        k, e, r, p = _summed(*(np.concatenate(x) for x in zip(*held)))
+        for s in range(0, len(k), 100_000):
+            cut = slice(s, s + 100_000)
+            yield rows("c", key=_signed(k[cut]), ends=e[cut], runs=r[cut], pauses=p[cut])
+        k, e, r = _summed(*(np.concatenate(x) for x in zip(*openings)))
+        yield rows("o", key=_signed(k), ends=e, runs=r)
+        known = sorted(words)
+        yield rows("w", word=known, runs=[words[w] for w in known])
+
+
+def _asked(tails: DataFrame) -> np.ndarray:
+    """The map of contexts asked about, put together by the cluster in at most ``ASKED_BITS`` / 64 rows."""
+    bit = F.explode("keys").alias("k")
+    at = tails.select(bit).select(F.col("k").bitwiseAND(ASKED_BITS - 1).alias("b"))
+    one = F.expr("shiftleft(1L, cast(b & 63 as int))")
+    rows = at.groupBy(F.shiftright("b", 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
+    out = np.zeros(ASKED_BITS // 64, np.int64)
+    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    return out.view(np.uint64)
 
 
 def _limits(docs: DataFrame, measure: str) -> DataFrame:
@@ -313,24 +335,20 @@ def truncated(docs: DataFrame, key: str, text: str, source: str, mentions: Seque
     """
     names = frozenset(t for t in (tuple(m.lower().replace("-", " ").split()) for m in mentions) if 0 < len(t) < 3)
     src = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text).alias("text"))
-    ddl = _FOUND.replace("KEY", src.schema["doc"].dataType.simpleString())
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    shape = to_arrow_schema(StructType.fromDDL(ddl))
-    profile = lambda batches: _profile(batches, names, shape)
-    found = written(src.mapInArrow(profile, ddl), "profiles")
-    d = found.where("kind = 'd'").drop("kind", "key", "ends", "runs", "pauses")
+    ddl = _TAIL.replace("KEY", src.schema["doc"].dataType.simpleString())
+    d = written(src.mapInArrow(lambda batches: _tails(batches, names), ddl), "tails")
+    asked = src.sparkSession.sparkContext.broadcast(_asked(d))
+    found = written(src.select("text").mapInArrow(lambda batches: _evidence(batches, names, asked.value), _EVIDENCE), "evidence")
     contexts = found.where("kind = 'c'").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("ends", "runs", "pauses")))
     closing = found.where("kind = 'o'").groupBy(F.col("key").alias("opening")).agg(F.sum("ends").alias("_last"), F.sum("runs").alias("_all")).where((F.col("_last") >= CLOSING_COUNT) & (F.col("_last") * 2 > F.col("_all"))).select("opening", F.lit(True).alias("_closing"))
     words = found.where("kind = 'w'").groupBy("word").agg(F.sum("runs").alias("_known"))
     longer = words.where("_known > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda n: F.substr("word", F.lit(1), n))).alias("word"), "_known").where("word <> ''").groupBy("word").agg(F.sum("_known").alias("_longer"))
     ask = d.where(F.col("status") == _STATUS["ask"])
-    asked = ask.select("doc", F.posexplode("keys").alias("_j", "key")).join(contexts, "key")
+    met = ask.select("doc", F.posexplode("keys").alias("_j", "key")).join(contexts, "key")
     total = F.col("ends") + F.col("runs") + F.col("pauses")
     n_keys = 6
     of = [F.max(F.when((F.col("_j") == j) & (total >= (CONTEXT_COUNT if j < 5 else 1)), F.struct("ends", "runs", "pauses"))).alias(f"_k{j}") for j in range(n_keys)]
-    evidence = asked.groupBy("doc").agg(*of)
+    evidence = met.groupBy("doc").agg(*of)
     verdict: Column = F.lit(None).cast("boolean")
     for j in reversed(range(5)):
         k = F.col(f"_k{j}")
