@@ -106,32 +106,30 @@ class Corpus:
         ids.append(nl)
         names = [mask(t) for t in index]
         raw = np.array(ids, np.int64)
-        low = np.array([_hash(n.lower()) for n in names], np.uint64)
-        single = np.array([_hash(m[0]) for m in mentions if len(m) == 1], np.uint64)
-        double = np.array([[_hash(m[0]), _hash(m[1])] for m in mentions if len(m) == 2], np.uint64).reshape(-1, 2)
-        self.h = np.array([_hash(n) for n in names], np.uint64)[raw]
-        lowered = low[raw]
+        # What can be told of a token is told once per distinct token.
+        low = [n.lower() for n in names]
+        singles, firsts = {m[0] for m in mentions if len(m) == 1}, {m[0] for m in mentions if len(m) == 2}
         link = np.uint64(_hash(_LINK))
-        self.h[np.isin(lowered, single)] = link
+        own = np.array([link if n in singles else _hash(names[k]) for k, n in enumerate(low)], np.uint64)
+        self.h = own[raw]
+        at = np.flatnonzero(np.array([n in firsts for n in low], bool)[raw[:-1]])
+        pair = [k for k in at.tolist() if (low[ids[k]], low[ids[k + 1]]) in mentions] if len(at) else []
         keep = np.ones(len(raw), bool)
-        if len(double) and len(raw) > 1:
-            pair = np.isin(_mix([lowered[:-1], lowered[1:]], 1), _mix([double[:, 0], double[:, 1]], 1))
-            at = np.flatnonzero(pair)
-            self.h[at] = link
-            keep[at + 1] = False
+        if pair:
+            self.h[pair] = link
+            keep[np.array(pair) + 1] = False
         place = np.cumsum(keep) - 1
-        self.bounds = [(place[s] if s < len(place) else len(place), place[e - 1] + 1 if e > s else 0) for s, e in bounds]
+        self.bounds = [(place[s], place[e - 1] + 1 if e > s else 0) for s, e in bounds]
         self.h, raw = self.h[keep], raw[keep]
         flag = lambda f: np.array([f(n) for n in names], bool)[raw]
         self.is_nl, self.ends, self.pauses = flag(lambda n: n == "\n"), flag(lambda n: n in _ENDS), flag(lambda n: n in _PAUSES)
-        words = np.array([n[0].isalpha() and not re.match(f"[{_CJK}]", n) and n not in (_LINK, _TAG) for n in names], bool)
-        self.is_word, self.raw, self.names = words[raw], raw, names
+        cjk = re.compile(f"[{_CJK}]")
+        self.is_word, self.raw, self.names = flag(lambda n: n[0].isalpha() and not cjk.match(n)), raw, names
         i = np.arange(len(raw))
         self.line = np.maximum.accumulate(np.where(self.is_nl, i + 1, 0))
         self.line[self.is_nl] = i[self.is_nl]
-        first = self.h[np.minimum(self.line, len(raw) - 1)]
-        special = np.array([_hash(c) for c in [*_KINDS, _NUMBER]], np.uint64)
-        self.kind = np.where(np.isin(first, special), first, np.uint64(7))
+        kinds = np.array([_hash(n) if n in _KINDS or n == _NUMBER else 7 for n in names], np.uint64)
+        self.kind = kinds[raw[np.minimum(self.line, len(raw) - 1)]]
 
     def lag(self, k: int, at: np.ndarray) -> np.ndarray:
         """The token ``k`` before each place, or the pad before its line."""
@@ -258,9 +256,9 @@ def _evidence(batches: Iterator[pa.RecordBatch], mentions: frozenset[tuple[str,
             bit = k & np.uint64(ASKED_BITS - 1)
             hit = np.flatnonzero((asked[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
             held.append(_summed(k[hit], ends[hit], runs[hit], pauses[hit]))
-        seen, times = np.unique(corpus.raw[at[corpus.is_word[at]]], return_counts=True)
-        for w, c in zip(seen, times):
-            words[corpus.names[w]] += int(c)
+        times = np.bincount(corpus.raw[at[corpus.is_word[at]]], minlength=len(corpus.names))
+        for w in np.flatnonzero(times).tolist():
+            words[corpus.names[w]] += int(times[w])
         starts = np.flatnonzero(~corpus.is_nl & (np.arange(n) == corpus.line))
         last_line = np.zeros(n, bool)
         last_line[corpus.line[tails]] = True
