@@ -65,7 +65,7 @@ def distance(a: str, b: str, most: int) -> int:
         if best > most:
             return most + 1
         before = last
-    return row[-1]
+    return min(row[-1], most + 1)
 
 
 def bones(w: str) -> str:
@@ -73,6 +73,15 @@ def bones(w: str) -> str:
     return w[:1] + "".join(c for c in w[1:-1] if c not in "aeiou") + w[-1:] if len(w) > 2 else w
 
 
+def letters(w: str) -> int:
+    """The letters a-z of a word as bits."""
+    m = 0
+    for c in w:
+        if "a" <= c <= "z":
+            m |= 1 << (ord(c) - 97)
+    return m
+
+
 def plurals(w: str) -> set[str]:
     return {w + "s", w + "es"} | ({w[:-1] + "ies"} if w.endswith("y") else set())
 
@@ -93,7 +102,8 @@ class Matcher:
         self.sets: dict[tuple[str, ...], int] = {}
         for key, number in self.ids.items():
             self.sets.setdefault(tuple(sorted(key)), number)
-        self.letters = {w: set(w) for w in self.vocabulary}
+        self.letters = {w: letters(w) for w in self.vocabulary}
+        self.tries = [(w, bones(w), {bones(w) + "s", bones(w + "s")}, {w: 0.0} | dict.fromkeys(sorted(plurals(w)), 0.02)) for w in self.vocabulary]
         self.by_word = defaultdict(set)
         for key in self.sets:
             for w in key:
@@ -140,32 +150,34 @@ class Matcher:
         short, w = w.endswith("."), w.rstrip(".")
         if not w:
             return
-        letters = self.letters
-        for t in self.vocabulary:
+        if w in self.letters:
+            yield 1.0, w
+        mask, size = letters(w), len(w)
+        for t, bone, more_bones, forms in self.tries:
             if w == t:
-                yield 1.0, t
                 continue
-            forms = [(0.0, t), *((0.02, p) for p in plurals(t))]
-            score = max(1 - cut if w == form else 0.0 for cut, form in forms)
-            if not score and len(w) >= 3 and t.startswith(w):
-                score = 0.94 if short else 0.78 if len(w) >= 4 else 0.0
-            if score < 0.9 and len(w) >= 3:
-                b = bones(t)
-                if w == b:
+            score = 0.98 if w in forms else 0.0
+            if not score and size >= 3 and t.startswith(w):
+                score = 0.94 if short else 0.78 if size >= 4 else 0.0
+            if score < 0.9 and size >= 3:
+                if w == bone:
                     score = max(score, 0.92)
-                elif w in (b + "s", bones(t + "s")):
+                elif w in more_bones:
                     score = max(score, 0.9)
-                elif len(b) >= 4 and len(w) <= len(b) + 1 and distance(w, b, 1) == 1:
+                elif len(bone) >= 4 and abs(size - len(bone)) <= 1 and distance(w, bone, 1) == 1:
                     score = max(score, 0.7)
                 most = 1 if len(t) < 4 else 2 if len(t) <= 7 else 3
-                for cut, form in forms if len(letters[t] - set(w)) <= most else ():
-                    d = distance(w, form, most)
-                    if d <= most:
-                        score = max(score, 1 - cut - 0.8 * d / len(form) - (0.1 if d == most > 1 else 0))
-                if short and len(w) >= 3:
-                    d = min(distance(w, t[:k], 1) for k in (len(w) - 1, len(w), len(w) + 1) if k > 1)
+                # Each letter that only one of the two has costs an edit of its own.
+                if (self.letters[t] & ~mask).bit_count() <= most and (mask & ~self.letters[t]).bit_count() <= most + 1:
+                    for form, cut in forms.items():
+                        if abs(len(form) - size) <= most:
+                            d = distance(w, form, most)
+                            if d <= most:
+                                score = max(score, 1 - cut - 0.8 * d / len(form) - (0.1 if d == most > 1 else 0))
+                if short:
+                    d = min(distance(w, t[:k], 1) for k in (size - 1, size, size + 1) if k > 1) if t[:1] == w[:1] or t[:2] == w[1:3] or t[1:2] == w[:1] else 2
                     if d == 1:
-                        score = max(score, 0.64 if len(w) > 3 else 0.6)
+                        score = max(score, 0.64 if size > 3 else 0.6)
             if score:
                 yield score, t
 
