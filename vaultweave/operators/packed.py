@@ -16,7 +16,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vaultweave.functions.keys import BLANKS, blank_trim
 
@@ -48,11 +47,12 @@ def skeleton(text: Column) -> Column:
 RULES = {"simple": ",;|\t·•", "quotes": ",;|\n\r\t·•\"'L", "every": ",;|\n\r\t·•</\"'L"}
 
 
-def resolve(skel: str) -> str:
-    """The splitting rule of a skeleton: ``json``, ``whole`` or the name of the leanest pattern that knows its marks."""
-    if skel == "J":
-        return "json"
-    return next((name for name, marks in {"whole": "", **RULES}.items() if set(skel) <= set(marks)))
+def resolve(skel: Column) -> Column:
+    """The splitting rule of a skeleton: ``json``, ``whole`` or the name of the leanest pattern that knows all its marks."""
+    rule = F.when(skel == "J", F.lit("json")).when(skel == "", F.lit("whole"))
+    for name, marks in RULES.items():
+        rule = rule.when(F.translate(skel, marks, "") == "", F.lit(name))
+    return rule
 
 
 def pattern(skel: str) -> str:
@@ -92,7 +92,7 @@ def _clean(t: Column) -> Column:
 def rules_for(texts: DataFrame, column: str) -> DataFrame:
     """(skel, rule): one row per distinct skeleton of ``column``."""
     found = texts.select(skeleton(F.col(column)).alias("skel")).where("skel is not null").distinct()
-    return found.select("skel", F.udf(resolve, T.StringType())("skel").alias("rule"))
+    return found.select("skel", resolve(F.col("skel")).alias("rule"))
 
 
 def split_packed(df: DataFrame, column: str, keep: Sequence[str], rules: DataFrame | None = None, pos: str = "pos", value: str = "value") -> DataFrame:
