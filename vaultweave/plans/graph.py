@@ -65,7 +65,7 @@ def organisation(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(b).unionByName(c)
 
 
-@query("SELECT dst AS node, sum(n) AS links FROM links GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
+@query("SELECT dst AS node, CAST(sum(n) AS BIGINT) AS links FROM links GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
 def top_inlinks(spark, sf):
     """The fifty parts with most incoming links."""
     return links(spark, sf).groupBy(F.col("dst").alias("node")).agg(F.sum("n").alias("links")).orderBy(F.desc("links"), "node").limit(50)
@@ -195,43 +195,47 @@ def hub_scores(spark, sf):
     return g.rank_hubs(g.hubs(parts(spark, sf), depends(spark, sf), links(spark, sf)), by="score")
 
 
-@query("SELECT count(*) AS edges, avg(CASE WHEN a.layer = b.layer THEN 1.0 ELSE 0.0 END) AS fraction FROM deps d JOIN parts a ON a.node = d.src JOIN parts b ON b.node = d.dst")
+@query("SELECT count(*) AS edges, round(avg(CASE WHEN a.layer = b.layer THEN 1.0 ELSE 0.0 END), 6) AS fraction FROM deps d JOIN parts a ON a.node = d.src JOIN parts b ON b.node = d.dst")
 def within_layer_fraction(spark, sf):
     """Share of edges within a layer."""
-    return g.within_fraction(parts(spark, sf).select("node", F.col("layer").alias("value")), depends(spark, sf))
+    found = g.within_fraction(parts(spark, sf).select("node", F.col("layer").alias("value")), depends(spark, sf))
+    return found.select("edges", F.round("fraction", 6).alias("fraction"))
 
 
 @query(
     """m AS (SELECT count(*) AS m FROM deps), e AS (SELECT src AS node FROM deps UNION ALL SELECT dst FROM deps), d AS (SELECT node, count(*) AS d FROM e GROUP BY 1),
       w AS (SELECT community, coalesce(sum(d), 0) AS d FROM parts LEFT JOIN d USING (node) GROUP BY 1),
       l AS (SELECT a.community, count(*) AS l FROM deps x JOIN parts a ON a.node = x.src JOIN parts b ON b.node = x.dst WHERE a.community = b.community GROUP BY 1)
-    SELECT count(*) AS communities, max(m) AS edges, sum(coalesce(l, 0) / m - pow(d / (2 * m), 2)) AS modularity FROM w LEFT JOIN l USING (community), m"""
+    SELECT count(*) AS communities, max(m) AS edges, round(sum(coalesce(l, 0) / m - pow(d / (2 * m), 2)), 6) AS modularity FROM w LEFT JOIN l USING (community), m"""
 )
 def modularity_of_brands(spark, sf):
     """Modularity of the parts by brand."""
-    return g.modularity(parts(spark, sf).select("node", "community"), depends(spark, sf))
+    found = g.modularity(parts(spark, sf).select("node", "community"), depends(spark, sf))
+    return found.select("communities", "edges", F.round("modularity", 6).alias("modularity"))
 
 
 @query(
     """t AS (SELECT community, layer, count(*) AS n FROM parts GROUP BY 1, 2), c AS (SELECT community, sum(n) AS nc, max(n) AS top FROM t GROUP BY 1), v AS (SELECT layer, sum(n) AS nv FROM t GROUP BY 1),
       s AS (SELECT sum(n) AS t FROM t), hc AS (SELECT -sum(nc / t * ln(nc / t)) AS h FROM c, s), hv AS (SELECT -sum(nv / t * ln(nv / t)) AS h FROM v, s),
       i AS (SELECT sum(n / t * ln(n * t / (nc * nv))) AS mi FROM t JOIN c USING (community) JOIN v USING (layer), s)
-    SELECT CAST(s.t AS BIGINT) AS nodes, (SELECT sum(top) FROM c) / s.t AS purity, mi / sqrt(hc.h * hv.h) AS nmi FROM s, hc, hv, i"""
+    SELECT CAST(s.t AS BIGINT) AS nodes, round((SELECT sum(top) FROM c) / s.t, 6) AS purity, round(mi / sqrt(hc.h * hv.h), 6) AS nmi FROM s, hc, hv, i"""
 )
 def alignment_of_brands(spark, sf):
     """Purity and NMI of brands against layers."""
     p = parts(spark, sf)
-    return g.alignment(g.contingency(p.select("node", "community"), p.select("node", F.col("layer").alias("value"))))
+    fit = g.alignment(g.contingency(p.select("node", "community"), p.select("node", F.col("layer").alias("value"))))
+    return fit.select("nodes", F.round("purity", 6).alias("purity"), F.round("nmi", 6).alias("nmi"))
 
 
 @query(
     """t AS (SELECT community, layer, count(*) AS n FROM parts GROUP BY 1, 2), r AS (SELECT *, sum(n) OVER (PARTITION BY community) AS size, row_number() OVER (PARTITION BY community ORDER BY n DESC, layer DESC) AS k FROM t)
-    SELECT community, CAST(size AS BIGINT) AS size, layer AS value, n / size AS share FROM r WHERE k = 1"""
+    SELECT community, CAST(size AS BIGINT) AS size, layer AS value, round(n / size, 6) AS share FROM r WHERE k = 1"""
 )
 def majority_layers(spark, sf):
     """The commonest layer of each brand."""
     p = parts(spark, sf)
-    return g.majorities(g.contingency(p.select("node", "community"), p.select("node", F.col("layer").alias("value"))))
+    found = g.majorities(g.contingency(p.select("node", "community"), p.select("node", F.col("layer").alias("value"))))
+    return found.withColumn("share", F.round("share", 6))
 
 
 @query(
@@ -278,15 +282,15 @@ def neighbourhood_edges(spark, sf):
 
 
 @query(
-    """SELECT 'link' AS type, s.s_nationkey AS source, d.community AS target, count(*) AS weight FROM links l JOIN supplier s ON s.s_suppkey = l.src JOIN parts d ON d.node = l.dst GROUP BY 2, 3
+    """SELECT 'link' AS type, CAST(s.s_nationkey AS VARCHAR) AS source, d.community AS target, count(*) AS weight FROM links l JOIN supplier s ON s.s_suppkey = l.src JOIN parts d ON d.node = l.dst GROUP BY 2, 3
     UNION ALL SELECT 'depends', NULL, b.community, count(*) FROM deps x JOIN parts b ON b.node = x.dst GROUP BY 3"""
 )
 def two_layer_edges(spark, sf):
     """Edges of the two-layer graph: nations to brands by links, dependencies by brand."""
     brand = parts(spark, sf).select(F.col("node").alias("dst"), F.col("community").alias("target"))
-    nation = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("src"), F.col("s_nationkey").alias("source"))
+    nation = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("src"), F.col("s_nationkey").cast("string").alias("source"))
     a = links(spark, sf).join(nation, "src").join(brand, "dst").groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight")).select(F.lit("link").alias("type"), "source", "target", "weight")
-    b = depends(spark, sf).join(brand, "dst").groupBy("target").agg(F.count(F.lit(1)).alias("weight")).select(F.lit("depends").alias("type"), F.lit(None).cast("int").alias("source"), "target", "weight")
+    b = depends(spark, sf).join(brand, "dst").groupBy("target").agg(F.count(F.lit(1)).alias("weight")).select(F.lit("depends").alias("type"), F.lit(None).cast("string").alias("source"), "target", "weight")
     return a.unionByName(b)
 
 

@@ -102,11 +102,11 @@ def ledger_by_status(spark, sf):
     """p AS (SELECT execution_id, phase, arg_max(duration_ms, seq) AS d FROM logs WHERE status = 'completed' AND duration_ms IS NOT NULL GROUP BY 1, 2), t AS (SELECT execution_id, sum(d) AS total, count(*) AS n FROM p GROUP BY 1),
       w AS (SELECT execution_id, arg_min(artifact_id, seq) AS artifact_id, CASE WHEN bool_or(status = 'failed') THEN 'failure' ELSE 'success' END AS overall_status, CAST(max(attempt) + 1 AS INTEGER) AS attempts,
         arg_min(error, seq) FILTER (WHERE status = 'failed') AS first_error, arg_min(phase, seq) FILTER (WHERE status = 'failed') AS failure_phase, count(*) FILTER (WHERE status = 'completed') AS n_completed, min(ts) AS started_at, max(ts) AS ended_at FROM logs GROUP BY 1)
-    SELECT w.*, coalesce(total, 0) AS total_duration_ms, coalesce(n, 0) AS n_phases FROM w LEFT JOIN t USING (execution_id)"""
+    SELECT w.*, round(coalesce(total, 0), 4) AS total_duration_ms, coalesce(n, 0) AS n_phases FROM w LEFT JOIN t USING (execution_id)"""
 )
 def execution_summaries(spark, sf):
     """Summary of each execution."""
-    return ledger.execution_summaries(logs(spark, sf))
+    return ledger.execution_summaries(logs(spark, sf)).withColumn("total_duration_ms", F.round("total_duration_ms", 4))
 
 
 @query("SELECT artifact_id, arg_max(execution_id, seq) AS execution_id FROM logs GROUP BY 1")
@@ -153,11 +153,11 @@ def audit_trail(spark, sf):
     return ledger.audit_trail(events(spark, sf), 3).select("seq", "event_type", "step", "previous")
 
 
-@query("SELECT event_type, actor, count(*) AS n, count(DISTINCT artifact_id) AS artifacts, min(ts) AS first_at, max(ts) AS last_at, sum(value) AS total FROM led GROUP BY 1, 2")
+@query("SELECT event_type, actor, count(*) AS n, count(DISTINCT artifact_id) AS artifacts, min(ts) AS first_at, max(ts) AS last_at, round(sum(value), 4) AS total FROM led GROUP BY 1, 2")
 def event_counts(spark, sf):
     """Events by type and actor."""
     return events(spark, sf).groupBy("event_type", "actor").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("artifact_id").alias("artifacts"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.sum("value").alias("total")
+        F.count(F.lit(1)).alias("n"), F.count_distinct("artifact_id").alias("artifacts"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.round(F.sum("value"), 4).alias("total")
     )
 
 

@@ -334,12 +334,12 @@ def content_store(spark, sf):
 
 
 @query(
-    r"""SELECT coalesce(source, '') AS source, lower(coalesce(lang, '')) AS lang, count(*) AS n, count(text) AS filled, sum(n_chars) AS n_chars, avg(n_chars) AS mean_chars FROM documents GROUP BY 1, 2"""
+    r"""SELECT coalesce(source, '') AS source, lower(coalesce(lang, '')) AS lang, count(*) AS n, count(text) AS filled, CAST(sum(n_chars) AS BIGINT) AS n_chars, round(avg(n_chars), 6) AS mean_chars FROM documents GROUP BY 1, 2"""
 )
 def docs_by_source(spark, sf):
     """Documents by source and language with the usual footers: filled, sum, average."""
     keys = [F.coalesce("source", F.lit("")).alias("source"), F.lower(F.coalesce("lang", F.lit(""))).alias("lang")]
-    return table(spark, sf, "documents").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("text").alias("filled"), F.sum("n_chars").alias("n_chars"), F.avg("n_chars").alias("mean_chars"))
+    return table(spark, sf, "documents").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("text").alias("filled"), F.sum("n_chars").alias("n_chars"), F.round(F.avg("n_chars"), 6).alias("mean_chars"))
 
 
 def _search(spark, sf, prefix: str, fields: tuple[str, ...]) -> DataFrame:

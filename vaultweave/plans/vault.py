@@ -135,12 +135,12 @@ def view_primitives(spark, sf):
     return views.rows(table(spark, sf, "primitives_and_foundational"), PRIMITIVES)
 
 
-@query("SELECT count(*) AS n, sum(links_count) AS links_count_sum, avg(links_count) AS links_count_average, count(DISTINCT vault) AS vault_unique FROM papers", base="")
+@query("SELECT count(*) AS n, CAST(sum(links_count) AS BIGINT) AS links_count_sum, round(avg(links_count), 6) AS links_count_average, count(DISTINCT vault) AS vault_unique FROM papers", base="")
 def view_paper_footers(spark, sf):
     """Footers of the papers view."""
-    return views.footers(table(spark, sf, "papers"), views.View(["paper"], footers={"links_count": "Sum", "vault": "Unique"})).join(
-        views.footers(table(spark, sf, "papers"), views.View(["paper"], footers={"links_count": "Average"})).drop("n")
-    )
+    papers = table(spark, sf, "papers").withColumn("links", F.col("links_count"))
+    found = views.footers(papers, views.View(["paper"], footers={"links_count": "Sum", "links": "Average", "vault": "Unique"}))
+    return found.select("n", "links_count_sum", F.round("links_average", 6).alias("links_count_average"), "vault_unique")
 
 
 def _linked(spark, sf) -> DataFrame:
