@@ -30,6 +30,8 @@ from vaultweave.session import written
 
 #: Shortest prefix of the ladder; each further step doubles it.
 FIRST_STEP = 32
+#: A text of whole sentences is a cut copy of a longer one from this length on; below, both may just begin alike.
+SURE_PREFIX = 128
 #: A length is a field limit of a source if so many distinct texts have it, and so many times the texts of a length below it.
 LIMIT_TEXTS, LIMIT_RATIO = 8, 6.0
 #: Lengths below one that tell how many texts it would have otherwise.
@@ -166,7 +168,7 @@ def _open(text: str) -> bool:
 
 
 _STATUS = {"blank": 0, "open": 1, "ended": 2, "ask": 3}
-_TAIL = "doc KEY, source string, n_chars long, n_bytes long, digest long, size long, ladder array<long>, status int, word string, keys array<long>, opening long"
+_TAIL = "doc KEY, source string, n_chars long, n_bytes long, digest long, size long, ladder array<long>, status int, word string, keys array<long>, opening long, short boolean"
 _EVIDENCE = "kind string, word string, key long, ends long, runs long, pauses long"
 #: Bits of the map of contexts asked about, 8 MB whatever the size of the corpus; a fuller map lets more contexts pass that nobody asks about, no fewer.
 ASKED_BITS = 1 << 26
@@ -189,6 +191,8 @@ def _tails(batches: Iterator[pa.RecordBatch], mentions: frozenset[tuple[str, ...
         at = np.maximum(tails, 0)
         keys = [_signed(k).tolist() for k in corpus.keys(at)]
         heads = _signed(corpus.openings(np.minimum(corpus.line[at], len(corpus.h) - 1))).tolist()
+        # The opening of a line of two tokens or less holds the last token itself, so it tells nothing of how the line goes on.
+        short = pa.array((at - corpus.line[at]) < 2, pa.bool_())
         status, word, ladders, sizes, asked = [], [], [], [], []
         for k, (stem, shortened) in enumerate(stems):
             t = tails[k]
@@ -214,9 +218,9 @@ def _tails(batches: Iterator[pa.RecordBatch], mentions: frozenset[tuple[str, ...
         columns = [
             block.column(0), block.column(1), pa.array([len(t or "") for t in texts], long), pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], long),
             pa.array(_signed(np.array([_hash(t or "") for t in texts], np.uint64)), long), pa.array(sizes, long), pa.array(ladders, longs), pa.array(status, pa.int32()),
-            pa.array(word, pa.string()), pa.array(asked, longs), pa.array(heads, long),
+            pa.array(word, pa.string()), pa.array(asked, longs), pa.array(heads, long), short,
         ]
-        yield pa.RecordBatch.from_arrays(columns, "doc source n_chars n_bytes digest size ladder status word keys opening".split())
+        yield pa.RecordBatch.from_arrays(columns, "doc source n_chars n_bytes digest size ladder status word keys opening short".split())
 
 
 def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -369,9 +373,9 @@ def truncated(docs: DataFrame, key: str, text: str, source: str, mentions: Seque
     reason = (
         F.when(F.col("status") == _STATUS["blank"], None)
         .when(F.col("_at_n_chars") | F.col("_at_n_bytes"), "limit")
-        .when(F.col("_prefix"), "prefix")
-        .when(F.col("_closing"), None)
+        .when(F.col("_prefix") & ((F.col("status") != _STATUS["ended"]) | (F.col("size") >= SURE_PREFIX)), "prefix")
         .when(F.col("status") == _STATUS["open"], "open")
+        .when(F.col("_closing") & ~F.col("short"), None)
         .when(F.col("status") == _STATUS["ended"], None)
         .when(unknown & (F.coalesce("_longer", F.lit(0)) > 0), "word")
         .when(unknown, None)
