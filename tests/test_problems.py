@@ -91,7 +91,7 @@ def test_orphans_tables(spark, small):
 def test_orphans_composite(spark):
     day = lambda n: dt.datetime(2024, 1, n)
     targets = spark.createDataFrame([("a", 1), ("b", None), ("c", 3)], "k string, n int")
-    refs = spark.createDataFrame([(1, "a", 1), (2, "a", 2), (3, "a", None), (4, None, 3), (5, None, 9), (6, None, None), (7, "z", None), (2, "a", 2)], "id int, k string, n int")
+    refs = spark.createDataFrame([(1, "a", 1), (2, "a", 2), (3, "a", None), (4, None, 3), (5, None, 9), (6, None, None), (7, "z", None), (2, "a", 2)], "id int, k string, n int").selectExpr("*", "'x' as kind", "'y' as created")
     ids = lambda m: sorted(r.id for r in orphan_references(refs, targets, ["k", "n"], match=m).collect())
     assert ids("simple") == [2, 2] and ids("partial") == [2, 2, 5, 7] and ids("full") == [2, 2, 3, 4, 5, 7]
     schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("made", T.TimestampNTZType()), T.StructField("gone", T.TimestampNTZType())])

@@ -63,7 +63,8 @@ def orphan_references(
     the reference, of creation or of removal never makes an orphan.  Several
     targets of one key count as one, from the earliest creation to the latest
     removal.  Repeated references are kept, targets with null keys match nothing
-    under ``simple`` and ``full``.
+    under ``simple`` and ``full``.  Other columns of ``refs`` are kept, one named
+    ``kind`` is replaced.
 
     ``lookup`` are further targets, few and often referred to (a canonical
     list).  If they prove to be at most ``LOOKUP_ROWS`` they are broadcast and
@@ -73,6 +74,7 @@ def orphan_references(
     """
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}")
+    refs = refs.drop("kind")
     time = F.col(at) if at else F.lit(None).cast("timestamp_ntz")
     life = [c for c in (created, removed) if c]
     only = targets.select(*keys, *life)
