@@ -4,6 +4,7 @@ from collections import Counter
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
 from vaultweave.llm import queries
 from vaultweave.llm.canonical import Matcher, canonical_entries, distance, map_values, unmatched_report, words
@@ -15,7 +16,7 @@ MEANT = {
     "Elastic Plateau": 1, " ELASTIC_plateaus ": 1, "plateau of elastic": 1, "plateau, elastic": 1, "plateau (elastic)": 1, "elasticplateau": 1, "elas. plateau": 1, "elstc plateau": 1, "elsatic plataeu": 1,
     "Ｅｌａｓｔｉｃ－Ｐｌａｔｅａｕ": 1, "éláśtic plateau": 1, "elastiс рlateau": 1, "e1astic p1ateau": 1, "elastic​plateau": 1, "re: elastic plateau v2": 1, "concepts/elastic-plateau.md": 1, "elastic plateau [draft]": 1,
     "Hummng-Kiln": 1, "kiln humming": 1, "see the plateaus*": 2, "pltu": 2, "quietquorm": 3, "GUTTER - mossy": 3, "notes on the hidden nexus": 4, "lat. keystone": 5,
-    "quiet nexus": -1, "hidden quorum": -1, "elastic gutter": -1, "payroll hatch 37": -1, "Simara Bolt": -1, "n/a": -1, "": -1, "   ": -1, "?": -1, None: -1, "x" * 5000: -1, "latched seam": -1,
+    "quiet nexus": -1, "hidden quorum": -1, "elastic gutter": -1, "payroll hatch 37": -1, "Simara Bolt": -1, "n/a": -1, "": -1, "   ": -1, "?": -1, None: -1, "x" * 5000: -1, "elasticplateau" * 20000: -1, "ab " * 50000: -1, "latched seam": -1,
 }
 
 
@@ -44,7 +45,7 @@ def test_distance():
 
 def test_map_frame(spark):
     rows = [(v, i, "keep") for i, v in enumerate(MEANT)] * 2
-    df = spark.createDataFrame(rows, "v string, field int, `a b` string")
+    df = spark.createDataFrame(rows, "v string, field int, `a b` string").withColumn("concept_id", F.lit("clash"))
     got = map_values(df, "v", ENTRIES)
     assert Counter((r.v, r.concept_id) for r in got.collect()) == Counter({(v, c): 2 for v, c in MEANT.items()})
     assert map_values(df.limit(0), "v", ENTRIES).count() == 0 and map_values(df, "v", []).where("concept_id <> -1").count() == 0

@@ -126,6 +126,8 @@ class Matcher:
             self.starts.add_word(w, w)
         if self.vocabulary:
             self.starts.make_automaton()
+        #: No typed word longer than this is near any word, none longer than twice this any two.
+        self.longest = max(map(len, self.vocabulary), default=0) + 8
         self.close: dict[str, list[tuple[float, str]]] = {}
         self.known: dict[str, int] = {}
 
@@ -133,6 +135,8 @@ class Matcher:
 
     def word(self, w: str) -> list[tuple[float, str]]:
         """(score, word of the list) for every word ``w`` may stand for, best first."""
+        if len(w) > self.longest:
+            return []
         if w not in self.close:
             if len(self.close) > KNOWN_VALUES:
                 self.close.clear()
@@ -271,7 +275,7 @@ class Matcher:
     def _cuts(self, typed: list[str]) -> Iterator[list[str]]:
         """The words with one long word cut in two: where a word of the list starts or ends in it, else anywhere."""
         for i, w in enumerate(typed):
-            if len(w.rstrip(".")) < 6 or (len(typed) > 1 and len(w) <= 11):
+            if not 6 <= len(w.rstrip(".")) <= 2 * self.longest or (len(typed) > 1 and len(w) <= 11):
                 continue
             places = set()
             if any(c in DIGITS for c in w):
@@ -303,8 +307,11 @@ def map_values(values: DataFrame, value: str, entries: Sequence[tuple[int, Seque
     Each task builds the automaton once and remembers the values it has seen, so
     repeated values cost a look-up and no row is shuffled.  A null or blank
     value means none; so does every value where the list is empty.  Of entries
-    with the same words the smallest id wins.  All rows and columns are kept.
+    with the same words the smallest id wins.  All rows and columns are kept; a
+    column that has the name ``into`` is replaced.
     """
+    if into in values.columns and into != value:
+        values = values.drop(into)
     listed = [(int(i), list(names)) for i, names in entries]
     at = values.columns.index(value)
 
