@@ -257,11 +257,11 @@ def shortest_links(spark, sf):
     return resolve.shortest_links(links, pages).select("link", "slug")
 
 
-@query("SELECT note_id, CAST(row_number() OVER (PARTITION BY kind ORDER BY modified DESC NULLS LAST, lower(coalesce(title, '')), note_id) AS INTEGER) AS place FROM notes", base="")
-def page_order(spark, sf):
-    """Pages of a kind by date, undated last, then title."""
+@query("SELECT * FROM (SELECT note_id, CAST(row_number() OVER (PARTITION BY kind ORDER BY modified DESC NULLS LAST, lower(coalesce(title, '')), note_id) AS INTEGER) AS place FROM notes) WHERE place <= 50", base="")
+def recent_pages(spark, sf):
+    """The fifty latest pages of each kind: by date, undated last, then title."""
     order = [F.col("modified").desc_nulls_last(), F.lower(F.coalesce("title", F.lit(""))), "note_id"]
-    return table(spark, sf, "notes").select("note_id", F.row_number().over(Window.partitionBy("kind").orderBy(*order)).alias("place"))
+    return table(spark, sf, "notes").select("note_id", F.row_number().over(Window.partitionBy("kind").orderBy(*order)).alias("place")).where("place <= 50")
 
 
 @query("SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY CAST(regexp_extract(key, '(\\d+)', 1) AS BIGINT)) AS INTEGER) AS place FROM (SELECT *, 'part-' || p_partkey AS key FROM part)", base="")
