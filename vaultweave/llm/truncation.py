@@ -42,9 +42,9 @@ CONTEXT_COUNT, END_SHARE = 3, 0.5
 CLOSING_COUNT = 3
 _CJK = "぀-ヿ㐀-鿿"
 _TOKEN = re.compile(
-    rf"\[\[[^\[\]\n]*\]\]|\*\*[^*\n]+\*\*|[{_CJK}]|[^\W\d_{_CJK}]+(?:['’][^\W\d_{_CJK}]+)*|\d+|[\r\n]+|#[^\s#]+|-{{2,}}|\S"
+    rf"[^\W\d_{_CJK}]+(?:['’][^\W\d_{_CJK}]+)*|\[\[[^\[\]\n]*\]\]|[{_CJK}]|[\r\n]+|\d+|\*\*[^*\n]+\*\*|#[^\s#]+|-{{2,}}|\S"
 )
-_CLOSED = re.compile(r"\s*(?:\[\.\.\.\]|\.\.\.|…)$")
+_CUT_MARKS = ("[...]", "...", "…")
 _ENDS, _PAUSES, _KINDS = frozenset(".?!。"), frozenset(",;:"), frozenset("-*|>#^`")
 _BLANKS = " \t\r\n\x0b\x0c\xa0　﻿​"
 _LINK, _NUMBER, _TAG, _PAD, _ANY = "[[]]", "0", "#t", "^^", "**"
@@ -140,12 +140,11 @@ class Corpus:
 
     def keys(self, at: np.ndarray) -> list[np.ndarray]:
         """The contexts of each place, the most telling first."""
-        w0, w1, w2, w3, kind = (*(self.lag(k, at) for k in range(4)), self.kind[at])
-        any_ = np.full(len(at), _hash(_ANY), np.uint64)
-        w4 = self.lag(4, at)
+        w = [self.lag(k, at) for k in range(6)]
+        kind, any_ = self.kind[at], np.full(len(at), _hash(_ANY), np.uint64)
         return [
-            _mix([kind, w3, w2, w1, w0], 2), _mix([kind, w4, w3, any_, w1, w0], 3), _mix([kind, w2, w1, w0], 4),
-            _mix([kind, w3, w2, w1, any_], 5), _mix([kind, w1, w0], 6), _mix([w0], 7),
+            _mix([kind, w[4], w[3], any_, w[1], w[0]], 2), _mix([kind, w[5], w[4], any_, w[2], w[1], w[0]], 3), _mix([kind, w[3], w[2], w[1], w[0]], 4),
+            _mix([kind, w[2], w[1], w[0]], 5), _mix([kind, w[3], w[2], w[1], any_], 6), _mix([w[0]], 7),
         ]
 
     def openings(self, at: np.ndarray) -> np.ndarray:
@@ -177,8 +176,10 @@ ASKED_BITS = 1 << 26
 def _stem(text: str | None) -> tuple[str, bool]:
     """A text without outer blanks and the marks some tools put where they cut, and whether it had such."""
     bare = (text or "").strip(_BLANKS)
-    stem = _CLOSED.sub("", bare)
-    return stem, len(stem) < len(bare)
+    for mark in _CUT_MARKS:
+        if bare.endswith(mark):
+            return bare[: -len(mark)].rstrip(), True
+    return bare, False
 
 
 def _tails(batches: Iterator[pa.RecordBatch], mentions: frozenset[tuple[str, ...]]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +317,7 @@ def _prefixes(docs: DataFrame, texts: DataFrame) -> DataFrame:
         for block, read in text_blocks(batches, 0):
             out = set()
             for t, cuts in zip(read, block.column(1).to_pylist()):
-                flat = " ".join(_CLOSED.sub("", (t or "").strip(_BLANKS)).split())
+                flat = " ".join(_stem(t)[0].split())
                 for c in cuts:
                     if c < len(flat) and re.search(r"\w", flat[c:]):
                         out.add((c, int(_signed(np.array([_hash(flat[:c])], np.uint64))[0])))
@@ -355,7 +356,7 @@ def truncated(docs: DataFrame, key: str, text: str, source: str, mentions: Seque
     for j in reversed(range(5)):
         k = F.col(f"_k{j}")
         runs_on = F.when(k.ends + k.runs == 0, F.lit(True)).otherwise(k.ends < END_SHARE * (k.ends + k.runs))
-        if j == 3:  # the last word counts for nothing here, so it must be one that ends sentences
+        if j == 4:  # the last word counts for nothing here, so it must be one that ends sentences
             last = F.col("_k5")
             runs_on = runs_on | last.isNull() | (last.ends < 2) | (last.ends * 100 < last.runs)
         verdict = F.when(k.isNotNull(), runs_on).otherwise(verdict)
