@@ -121,6 +121,22 @@ def test_truncated(spark, corpus):
     assert truncated(df.limit(0), "id", "t", "source").count() == 0
 
 
+def test_copies_and_closing_lines(spark, corpus):
+    rows = list(corpus[0])
+    # A cut text in five copies whose last line opens as no other does, and cuts inside a closing line.
+    body = next(t for i, t, _ in rows if i == 1)
+    rows += [(2000 + i, f"{body.splitlines()[0]}\n\n{NOUNS[0]} note.\n\nQuarrel between the mirr", "copies") for i in range(5)]
+    closed = ["\n\nMore to follow", "\n\nStatus: partial"]
+    for i in range(60):
+        text = rows[i * 6 + 1][1].split("\n\nStatus")[0].split("\n\n|")[0]
+        rows.append((3000 + i, f"{text}\n\nA line of number {i}." + closed[i % 2], "closed"))
+    rows += [(4000, f"{body}\n\nMore to fol", "cut"), (4001, f"{body}\n\nStatus: par", "cut")]
+    df = spark.createDataFrame(rows, "id int, t string, source string")
+    got = {r.id: r.reason for r in truncated(df, "id", "t", "source").where("truncated").collect()}
+    assert {2000, 2001, 2002, 2003, 2004, 4000, 4001} <= set(got), sorted(i for i in got if i >= 2000)
+    assert not [i for i in got if 3000 <= i < 3060]
+
+
 def test_report(spark, small):
     rows = {r.source: r for r in queries.p8_sources(spark, small).collect()}
     assert sum(r.n_texts for r in rows.values()) == table(spark, small, "documents").count()

@@ -38,7 +38,7 @@ LIMIT_TEXTS, LIMIT_RATIO = 8, 6.0
 LIMIT_FROM, LIMIT_TO = 130, 30
 #: Occurrences a context needs to count, and the share of ends above which it is an end.
 CONTEXT_COUNT, END_SHARE = 3, 0.5
-#: A line's opening marks a closing line if it is the last of so many texts, and more often than not.
+#: A line's opening marks a closing line if it is the last of so many other distinct texts, and more often than not.
 CLOSING_COUNT = 3
 _CJK = "぀-ヿ㐀-鿿"
 _TOKEN = re.compile(
@@ -168,7 +168,7 @@ def _open(text: str) -> bool:
 
 _STATUS = {"blank": 0, "open": 1, "ended": 2, "ask": 3}
 _TAIL = "doc KEY, source string, n_chars long, n_bytes long, digest long, size long, ladder array<long>, status int, word string, keys array<long>, opening long, short boolean"
-_EVIDENCE = "kind string, word string, key long, ends long, runs long, pauses long"
+_EVIDENCE = "kind string, word string, key long, ends long, runs long, pauses long, whole long"
 #: Bits of the map of contexts asked about, 8 MB whatever the size of the corpus; a fuller map lets more contexts pass that nobody asks about, no fewer.
 ASKED_BITS = 1 << 26
 
@@ -232,21 +232,33 @@ def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (key[starts], *(np.add.reduceat(v[order], starts) if len(key) else v for v in values))
 
 
-def _evidence(batches: Iterator[pa.RecordBatch], mentions: frozenset[tuple[str, ...]], asked: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Counts of one task: contexts that are asked about ``c``, openings of lines ``o`` and words ``w``."""
+def _in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The places of the keys a bit map holds."""
+    bit = keys & np.uint64(ASKED_BITS - 1)
+    return np.flatnonzero((bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
+
+
+def _evidence(batches: Iterator[pa.RecordBatch], mentions: frozenset[tuple[str, ...]], asked: np.ndarray, copied: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts of one task: contexts that are asked about ``c``, openings of lines ``o`` and words ``w``.
+
+    Openings are those of distinct texts: of texts that may have copies they are
+    given text by text, ``whole`` telling which, so that copies can be dropped.
+    Where a text opens other lines as its last one, ``l`` gives their number.
+    """
     held: list[tuple[np.ndarray, ...]] = []
     openings: list[tuple[np.ndarray, ...]] = []
     words: Counter[str] = Counter()
-    names = "kind word key ends runs pauses".split()
+    names = "kind word key ends runs pauses whole".split()
     long = pa.int64()
 
-    def rows(kind: str, word=None, key=None, ends=None, runs=None, pauses=None) -> pa.RecordBatch:
+    def rows(kind: str, word=None, key=None, ends=None, runs=None, pauses=None, whole=None) -> pa.RecordBatch:
         n = len(runs)
         fill = lambda v: pa.nulls(n, long) if v is None else pa.array(v, long)
-        return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), pa.array(word or [None] * n, pa.string()), fill(key), fill(ends), fill(runs), fill(pauses)], names)
+        return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), pa.array(word or [None] * n, pa.string()), fill(key), fill(ends), fill(runs), fill(pauses), fill(whole)], names)
 
     for block, texts in text_blocks(batches, 0):
-        corpus = Corpus([_stem(t)[0] for t in texts], mentions)
+        stems = [_stem(t)[0] for t in texts]
+        corpus = Corpus(stems, mentions)
         n = len(corpus.h)
         # A text's last token is what is asked about, so it is no evidence.
         tails = np.array([e - 1 for s, e in corpus.bounds if e > s], np.int64)
@@ -258,8 +270,7 @@ def _evidence(batches: Iterator[pa.RecordBatch], mentions: frozenset[tuple[str,
         pauses = corpus.pauses[nxt].astype(np.int64)
         runs = 1 - ends - pauses
         for k in corpus.keys(at):
-            bit = k & np.uint64(ASKED_BITS - 1)
-            hit = np.flatnonzero((asked[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
+            hit = _in_map(asked, k)
             held.append(_summed(k[hit], ends[hit], runs[hit], pauses[hit]))
         times = np.bincount(corpus.raw[at[corpus.is_word[at]]], minlength=len(corpus.names))
         for w in np.flatnonzero(times).tolist():
@@ -267,7 +278,25 @@ def _evidence(batches: Iterator[pa.RecordBatch], mentions: frozenset[tuple[str,
         starts = np.flatnonzero(~corpus.is_nl & (np.arange(n) == corpus.line))
         last_line = np.zeros(n, bool)
         last_line[corpus.line[tails]] = True
-        openings.append(_summed(corpus.openings(starts), last_line[starts].astype(np.int64), np.ones(len(starts), np.int64)))
+        heads, last = corpus.openings(starts), last_line[starts].astype(np.int64)
+        whole = np.array([_hash(" ".join(s.split())) for s in stems], np.uint64)
+        of = np.searchsorted(np.array([s for s, _ in corpus.bounds], np.int64), starts, side="right") - 1
+        final = np.zeros(len(stems), np.uint64)
+        final[of[last > 0]] = heads[last > 0]
+        more = np.bincount(of[heads == final[of]], minlength=len(stems))
+        again = np.flatnonzero(more > 1)
+        if len(again):
+            yield rows("l", key=_signed(final[again]), runs=more[again], whole=_signed(whole[again]))
+        single = np.zeros(len(stems), bool)
+        single[_in_map(copied, whole)] = True
+        alone = ~single[of]
+        openings.append(_summed(heads[alone], last[alone], np.ones(int(alone.sum()), np.int64)))
+        if not alone.all():
+            text, h, e = of[~alone], heads[~alone], last[~alone]
+            order = np.lexsort((h, text))
+            text, h, e = text[order], h[order], e[order]
+            first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (h[1:] != h[:-1])]))
+            yield rows("o", key=_signed(h[first]), ends=np.add.reduceat(e, first), runs=np.diff(np.append(first, len(h))), whole=_signed(whole[text[first]]))
         if sum(len(x[0]) for x in held) > 2_000_000:
             held = [_summed(*(np.concatenate(x) for x in zip(*held)))]
     if held:
@@ -281,10 +310,9 @@ def _evidence(batches: Iterator[pa.RecordBatch], mentions: frozenset[tuple[str,
         yield rows("w", word=known, runs=[words[w] for w in known])
 
 
-def _asked(tails: DataFrame) -> np.ndarray:
-    """The map of contexts asked about, put together by the cluster in at most ``ASKED_BITS`` / 64 rows."""
-    bit = F.explode("keys").alias("k")
-    at = tails.select(bit).select(F.col("k").bitwiseAND(ASKED_BITS - 1).alias("b"))
+def _map(keys: DataFrame) -> np.ndarray:
+    """The bit map of some keys (k), put together by the cluster in at most ``ASKED_BITS`` / 64 rows."""
+    at = keys.select(F.col("k").bitwiseAND(ASKED_BITS - 1).alias("b"))
     one = F.expr("shiftleft(1L, cast(b & 63 as int))")
     rows = at.groupBy(F.shiftright("b", 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
     out = np.zeros(ASKED_BITS // 64, np.int64)
@@ -340,10 +368,19 @@ def truncated(docs: DataFrame, key: str, text: str, source: str, mentions: Seque
     src = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text).alias("text"))
     ddl = _TAIL.replace("KEY", src.schema["doc"].dataType.simpleString())
     d = written(src.mapInArrow(lambda batches: _tails(batches, names), ddl), "tails")
-    asked = src.sparkSession.sparkContext.broadcast(_asked(d))
-    found = written(src.select("text").mapInArrow(lambda batches: _evidence(batches, names, asked.value), _EVIDENCE), "evidence")
+    asked = src.sparkSession.sparkContext.broadcast(_map(d.select(F.explode("keys").alias("k"))))
+    whole = F.element_at("ladder", -1)
+    copied = src.sparkSession.sparkContext.broadcast(_map(d.groupBy(whole.alias("k")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")))
+    found = written(src.select("text").mapInArrow(lambda batches: _evidence(batches, names, asked.value, copied.value), _EVIDENCE), "evidence")
     contexts = found.where("kind = 'c'").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("ends", "runs", "pauses")))
-    closing = found.where("kind = 'o'").groupBy(F.col("key").alias("opening")).agg(F.sum("ends").alias("_last"), F.sum("runs").alias("_all")).where((F.col("_last") >= CLOSING_COUNT) & (F.col("_last") * 2 > F.col("_all"))).select("opening", F.lit(True).alias("_closing"))
+    once = lambda c: F.when(F.col("whole").isNull(), F.sum(c)).otherwise(F.max(c)).alias(c)
+    opened = found.where("kind = 'o'").groupBy("key", "whole").agg(once("ends"), once("runs"))
+    closing = written(opened.groupBy(F.col("key").alias("opening")).agg(F.sum("ends").alias("_last"), F.sum("runs").alias("_all")).where(F.col("_last") > CLOSING_COUNT), "closing")
+    lines = found.where("kind = 'l'").select("whole", F.col("key").alias("opening"), F.col("runs").alias("_own")).join(closing.select("opening"), "opening", "left_semi").distinct()
+    # Words that end closing lines stand nowhere else, perhaps; behind the same opening they are known by the other texts they end.
+    ended = d.where("word is not null").select(whole.alias("whole"), "opening", "word").join(closing.select("opening"), "opening", "left_semi").distinct().groupBy("opening", "word").agg(F.count(F.lit(1)).alias("_same"))
+    starts = F.explode(F.transform(F.sequence(F.lit(1), F.length("word")), lambda n: F.struct(F.substr("word", F.lit(1), n).alias("word"), F.when(n == F.length("word"), F.col("_same")).alias("_same"), F.col("_same").alias("_begun"))))
+    last_words = ended.select("opening", starts.alias("x")).groupBy("opening", F.col("x.word").alias("word")).agg(F.sum("x._same").alias("_same"), F.sum("x._begun").alias("_begun")).where("_same is not null")
     words = found.where("kind = 'w'").groupBy("word").agg(F.sum("runs").alias("_known"))
     longer = words.where("_known > 1").select(F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda n: F.substr("word", F.lit(1), n))).alias("word"), "_known").where("word <> ''").groupBy("word").agg(F.sum("_known").alias("_longer"))
     ask = d.where(F.col("status") == _STATUS["ask"])
@@ -361,8 +398,11 @@ def truncated(docs: DataFrame, key: str, text: str, source: str, mentions: Seque
             runs_on = runs_on | last.isNull() | (last.ends < 2) | (last.ends * 100 < last.runs)
         verdict = F.when(k.isNotNull(), runs_on).otherwise(verdict)
     joined = (
-        d.drop("keys", "ladder")
+        d.withColumn("whole", whole)
+        .drop("keys", "ladder")
         .join(closing, "opening", "left")
+        .join(lines, ["whole", "opening"], "left")
+        .join(last_words, ["opening", "word"], "left")
         .join(words, "word", "left")
         .join(longer, "word", "left")
         .join(evidence, "doc", "left")
@@ -371,14 +411,20 @@ def truncated(docs: DataFrame, key: str, text: str, source: str, mentions: Seque
         .join(_prefixes(d, src.select("doc", "text")).withColumn("_prefix", F.lit(True)), "doc", "left")
     )
     unknown = F.col("word").isNotNull() & (F.coalesce("_known", F.lit(0)) < 2)
+    # What a text and its copies add themselves is no evidence.
+    others, of_others = F.col("_last") - 1, F.col("_all") - F.coalesce("_own", F.lit(1))
+    closes = F.coalesce((others >= CLOSING_COUNT) & (others * 2 > of_others), F.lit(False))
+    fellows = F.coalesce("_same", F.lit(1)) - 1
+    usual = (fellows >= CLOSING_COUNT) & (fellows * 2 > F.coalesce("_begun", F.lit(1)) - 1)
+    longer_there = F.coalesce(F.col("_begun") > F.col("_same"), F.lit(False))
     reason = (
         F.when(F.col("status") == _STATUS["blank"], None)
         .when(F.col("_at_n_chars") | F.col("_at_n_bytes"), "limit")
         .when(F.col("_prefix") & ((F.col("status") != _STATUS["ended"]) | (F.col("size") >= SURE_PREFIX)), "prefix")
         .when(F.col("status") == _STATUS["open"], "open")
-        .when(F.col("_closing") & ~F.col("short"), None)
         .when(F.col("status") == _STATUS["ended"], None)
-        .when(unknown & (F.coalesce("_longer", F.lit(0)) > 0), "word")
+        .when(unknown & ((F.coalesce("_longer", F.lit(0)) > 0) | longer_there) & ~(closes & usual & ~F.col("short")), "word")
+        .when(closes & ~F.col("short"), None)
         .when(unknown, None)
         .when(verdict, "passage")
     )
