@@ -98,6 +98,21 @@ def test_communities(spark):
     assert {r.community for r in g.communities(frame(spark, [(1, 1)])).collect()} == {"c1"}
 
 
+def test_communities_of_every_part(spark, small):
+    from vaultweave.plans import graph as plans
+
+    nodes = {r.node for r in plans.weak_components(spark, small).collect()}
+    assert any(n.startswith("part-") for n in nodes)
+    for query in (plans.communities_greedy, plans.communities_labels):
+        assert sorted(r.node for r in query(spark, small).collect()) == sorted(nodes)
+    rng = random.Random(13)
+    edges = sorted({(rng.randrange(40), 100 + rng.randrange(9)) for _ in range(130)})
+    got = defaultdict(list)
+    for r in g.communities(frame(spark, edges), method="greedy").collect():
+        got[r.community].append(r.node)
+    assert sorted(sorted(x) for x in got.values()) == sorted(greedy({x for e in edges for x in e}, edges))
+
+
 def test_fit_of_a_partition(spark):
     part = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "b")], "node long, community string")
     q = g.modularity(part, frame(spark, [(1, 2), (3, 4)])).first()

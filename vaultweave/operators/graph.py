@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import Counter
 from functools import reduce
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -174,29 +175,32 @@ def _spread_labels(nodes: list, near: dict, rounds: int) -> dict:
 
 
 def _merge_greedily(nodes: list, near: dict, m: int) -> dict:
-    """Greedy modularity: the merge of two linked communities that gains most, while any gains; ties to the first pair."""
+    """Greedy modularity: the merge of two linked communities that gains most, while any gains; ties to the first pair.
+
+    Gains are whole numbers, 2 m² times those of modularity.  The heap keeps the
+    pairs that gain; a pair that has changed since it was put there is passed over.
+    """
     place = {n: i for i, n in enumerate(nodes)}
     total = {i: len(near[n]) for n, i in place.items()}
     inside = {i: [n] for n, i in place.items()}
     between: dict[int, dict[int, int]] = {i: {place[x]: 1 for x in near[n]} for n, i in place.items()}
-    while True:
-        best, gain = None, 0.0
-        for a in sorted(between):
-            for b, e in between[a].items():
-                if a < b:
-                    g = e / m - total[a] * total[b] / (2 * m * m)
-                    if g > gain + 1e-12 or (best is not None and abs(g - gain) <= 1e-12 and (a, b) < best):
-                        best, gain = (a, b), max(g, gain) if g > gain + 1e-12 else gain
-        if best is None or gain <= 1e-12:
-            return {n: nodes[a] for a, ns in inside.items() for n in ns}
-        a, b = best
+    heap = [(-g, a, b) for a in between for b, e in between[a].items() if a < b and (g := 2 * m * e - total[a] * total[b]) > 0]
+    heapify(heap)
+    while heap:
+        gain, a, b = heappop(heap)
+        if a not in between or b not in between[a] or -gain != 2 * m * between[a][b] - total[a] * total[b]:
+            continue
         inside[a] += inside.pop(b)
         total[a] += total.pop(b)
+        mine, ta = between[a], total[a]
         for c, e in between.pop(b).items():
             del between[c][b]
             if c != a:
-                between[a][c] = between[c][a] = between[a].get(c, 0) + e
-        between[a].pop(b, None)
+                mine[c] = between[c][a] = mine.get(c, 0) + e
+        for c, e in mine.items():
+            if (g := 2 * m * e - ta * total[c]) > 0:
+                heappush(heap, (-g, a, c) if a < c else (-g, c, a))
+    return {n: nodes[a] for a, ns in inside.items() for n in ns}
 
 
 def communities(edges: DataFrame, nodes: DataFrame | None = None, method: str = "greedy", rounds: int = 20) -> DataFrame:

@@ -306,18 +306,13 @@ def weak_components(spark, sf):
     return g.components(organisation(spark, sf))
 
 
-def _places(spark, sf):
-    org = organisation(spark, sf)
-    return org.where(~F.col("src").startswith("part-"))
-
-
 @query()
 def communities_greedy(spark, sf):
-    """Communities of suppliers, nations and regions by greedy modularity."""
-    return g.communities(_places(spark, sf), method="greedy")
+    """Communities of parts, suppliers, nations and regions by greedy modularity."""
+    return g.communities(organisation(spark, sf), method="greedy")
 
 
 @query()
 def communities_labels(spark, sf):
-    """Communities of suppliers, nations and regions by label propagation."""
-    return g.communities(_places(spark, sf), method="labels")
+    """Communities of parts, suppliers, nations and regions by label propagation."""
+    return g.communities(organisation(spark, sf), method="labels")
