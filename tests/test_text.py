@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from vaultweave.functions import markdown as md
@@ -47,3 +50,16 @@ def test_slugs(spark):
     assert {r.p: r.s for r in df.select("p", slugs.simplify_slug(F.col("p")).alias("s")).collect()} == simple
     assert one(spark, "a/b/c", slugs.segment_prefixes(F.col("t")), slugs.folder(F.col("t")), slugs.relative(F.lit("a/b/c"), F.lit("x")))[:] == (["a", "a/b", "a/b/c"], "a/b", "../../x")
     assert one(spark, "n10b2", slugs.natural_key(F.col("t")))[0] > one(spark, "n9b2", slugs.natural_key(F.col("t")))[0]
+
+
+def test_search_index_has_every_token(spark, small):
+    from vaultweave.plans.text import search_index
+    from vaultweave.session import table
+
+    want = Counter()
+    for r in table(spark, small, "documents").collect():
+        want.update(("content", t, r.doc_id) for t in re.findall(r"[぀-ゟ゠-ヿ一-鿿가-힯]|[^ \t\r\n぀-ゟ゠-ヿ一-鿿가-힯]+", (r.text or "").lower()))
+    got = {(r.field, r.token, r.doc_id): r.n for r in search_index(spark, small).collect()}
+    assert {k: n for k, n in got.items() if k[0] == "content"} == dict(want)
+    assert {k[0] for k in got} == {"title", "content", "tags"}
+    assert {k[2] for k in got if k[0] == "title"} == {r.doc_id for r in table(spark, small, "documents").collect()}

@@ -313,9 +313,12 @@ _CJK = r"\x{3040}-\x{309f}\x{30a0}-\x{30ff}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}\x{
     GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5"""
 )
 def search_index(spark, sf):
-    """Postings of the search index, in sum: tokens with their document and term frequency."""
-    per = docs(spark, sf, "text").select("doc_id", F.explode(sg.search_tokens(F.col("text"))).alias("token")).groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf")).where("df >= 5")
+    """Postings of the search index: every token of each document's title, content and tags, and how often it stands there."""
+    text = F.col("text")
+    fields = {"title": md.title(text, F.concat(F.lit("note-"), F.col("doc_id"))), "content": text, "tags": F.array_join(md.inline_tags(text), " ")}
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), of.alias("of")) for name, of in fields.items()])).alias("x")
+    tokens = docs(spark, sf, "text").select("doc_id", each).select(F.col("x.field").alias("field"), "doc_id", F.explode(sg.search_tokens(F.col("x.of"))).alias("token"))
+    return tokens.groupBy("field", "token", "doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"""SELECT doc_id, sha256(text) AS content_id FROM documents WHERE text IS NOT NULL""")
