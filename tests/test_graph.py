@@ -134,3 +134,19 @@ def test_hubs(spark):
 def test_implied(spark):
     got = g.implied(spark.createDataFrame([("d", "load")], "owner string, node string"), spark.createDataFrame([("load", "sum"), ("load", "load")], "src string, dst string")).collect()
     assert [tuple(r) for r in got] == [("d", "sum", "load")]
+
+
+def test_every_line_item_declares(spark, small):
+    from vaultweave.plans import graph as plans
+    from vaultweave.session import table
+
+    nation = {r.s_suppkey: r.s_nationkey for r in table(spark, small, "supplier").collect()}
+    declared = {(nation[r.l_suppkey], r.l_partkey) for r in table(spark, small, "lineitem").collect()}
+    deps = defaultdict(set)
+    for r in plans.depends(spark, small).collect():
+        deps[r.src].add(r.dst)
+    want = {(o, x, v) for o, v in declared for x in deps[v] if (o, x) not in declared}
+    got = {r.owner: (r.n_implied, r.n_ways) for r in plans.implied_two_hop(spark, small).collect()}
+    assert got == {o: (len({x for p, x, _ in want if p == o}), sum(p == o for p, _, _ in want)) for o in {w[0] for w in want}}
+    owners = {r.implied: r.owners for r in plans.junctions_top_via(spark, small).collect()}
+    assert owners == {x: len({o for o, y, _ in want if y == x}) for x in {w[1] for w in want}}

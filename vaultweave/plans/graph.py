@@ -125,9 +125,9 @@ def depends_provenance(spark, sf):
 
 
 def _declared(spark, sf):
-    """Nations declare the parts their suppliers' cheapest line items name."""
-    cheap = table(spark, sf, "lineitem").where("l_quantity = 1").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return cheap.select(F.col("s_nationkey").alias("owner"), F.col("l_partkey").alias("node")).distinct()
+    """Nations declare the parts their suppliers' line items name."""
+    items = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return items.select(F.col("s_nationkey").alias("owner"), F.col("l_partkey").alias("node")).distinct()
 
 
 _DECLARED = "decl AS (SELECT DISTINCT s_nationkey AS owner, l_partkey AS node FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 1)"
