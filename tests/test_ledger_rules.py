@@ -142,3 +142,15 @@ def test_views_and_search(spark):
 def test_pending():
     assert fold_pending(["created", "modified"]) == "created" and fold_pending(["created", "deleted"]) is None
     assert fold_pending(["deleted", "created"]) == "modified" and fold_pending(["modified", "modified"]) == "modified" and fold_pending(["modified", "deleted"]) == "deleted"
+
+
+def test_every_event_is_checked(spark, small):
+    from vaultweave.plans import ledger as plans
+    from vaultweave.session import table
+
+    kinds = [r.event_type for r in table(spark, small, "events").collect()]
+    found = plans.constraint_summaries(spark, small).collect()
+    assert sum(r.rules_checked for r in found) == kinds.count("view")
+    assert sum(r.checks for r in found) == kinds.count("click")
+    clicked = {r.user_id for r in table(spark, small, "events").where("event_type = 'click'").collect()}
+    assert {r.artifact_id for r in plans.invariant_summaries(spark, small).collect()} == clicked

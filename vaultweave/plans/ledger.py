@@ -122,8 +122,8 @@ _EVAL = """ev AS (SELECT seq, artifact_id, 'rs-' || k % 3 AS ruleset_id, CASE WH
 def _checks(spark, sf):
     e = events(spark, sf)
     result = F.when(F.col("value") < 10, "fail").when(F.col("value") < 20, "warning").otherwise("pass")
-    ev = e.where("k % 2 = 0 and event_type = 'validated'").select("seq", "artifact_id", F.concat(F.lit("rs-"), F.col("k") % 3).alias("ruleset_id"), result.alias("result"), "ts")
-    ch = e.where("event_type = 'approved' and k % 3 = 0").select("artifact_id", F.concat(F.lit("inv-"), F.col("k") % 5).alias("invariant_id"), F.when(F.col("value") < 5, "fail").otherwise("pass").alias("status"))
+    ev = e.where("event_type = 'validated'").select("seq", "artifact_id", F.concat(F.lit("rs-"), F.col("k") % 3).alias("ruleset_id"), result.alias("result"), "ts")
+    ch = e.where("event_type = 'approved'").select("artifact_id", F.concat(F.lit("inv-"), F.col("k") % 5).alias("invariant_id"), F.when(F.col("value") < 5, "fail").otherwise("pass").alias("status"))
     return e, ev, ch
 
 
