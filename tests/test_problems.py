@@ -100,3 +100,13 @@ def test_orphans_composite(spark):
     for lookup in (None, timed.limit(0), timed):
         got = rows(orphan_references(r, timed, ["k"], "at", "made", "gone", lookup=lookup).select("k", "at", "kind"))
         assert got == Counter({("a", day(2), "late"): 1, ("b", day(4), "deleted"): 1, ("q", None, "missing"): 1})
+
+
+def test_domain_notes_without_links_are_gaps(spark, tmp_path):
+    from vaultweave.plans import vault as plans
+
+    rows = [(1, "domain", "s", "On [[plateau]] and [[Yoke]]."), (2, "Domain", "s", "No link at all."), (3, "domain", None, None), (4, "concept", "s", "[[yoke]]")]
+    spark.createDataFrame(rows, "doc_id long, note_kind string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in plans.view_coverage(spark, str(tmp_path)).collect()}
+    assert {i: tuple(r)[1:].count("yes") for i, r in got.items()} == {1: 2, 2: 0, 3: 0} and set(got[3][1:]) == {"no"}
+    assert {r.missing: r.n for r in plans.audit_domain_gaps(spark, str(tmp_path)).collect()} == {3: 1, 5: 2}

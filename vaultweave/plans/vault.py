@@ -166,7 +166,7 @@ _FLAGS = ["plateau", "yoke", "gated-seam", "nested-handover", "hidden-notch"]
 def view_coverage(spark, sf):
     """Which concepts each domain note links to."""
     flags = {f.replace("-", "_"): views.has_link("links", f) for f in _FLAGS}
-    return views.rows(_linked(spark, sf), views.View(["doc_id", *flags], flags, filters=["kind = 'domain'", "n_links > 0"]))
+    return views.rows(_linked(spark, sf), views.View(["doc_id", *flags], flags, filters=["kind = 'domain'"]))
 
 
 @query(rf"SELECT kind, count(*) AS n, CAST(sum(k) AS BIGINT) AS n_links_sum FROM (SELECT kind, len(coalesce(regexp_extract_all(text, '{_LINK}', 1), [])) AS k FROM d) GROUP BY 1")
