@@ -1,3 +1,4 @@
+import inspect
 import random
 from collections import defaultdict
 
@@ -150,3 +151,7 @@ def test_every_line_item_declares(spark, small):
     assert got == {o: (len({x for p, x, _ in want if p == o}), sum(p == o for p, _, _ in want)) for o in {w[0] for w in want}}
     owners = {r.implied: r.owners for r in plans.junctions_top_via(spark, small).collect()}
     assert owners == {x: len({o for o, y, _ in want if y == x}) for x in {w[1] for w in want}}
+
+
+def test_closure_has_no_bound_of_its_own():
+    assert inspect.signature(g.closure).parameters["max_rounds"].default is None

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections import Counter
 from functools import reduce
 from heapq import heapify, heappop, heappush
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -42,15 +43,16 @@ def degrees(edges: DataFrame) -> DataFrame:
     return directed.join(near, "node", "left").na.fill(0, ["degree"])
 
 
-def closure(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, starts: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(node, hops): everything reachable from ``starts`` (node), the starts included at 0, by the fewest hops.
 
+    ``max_rounds`` bounds the hops; without it the search ends where nothing new is reached.
     Names that are no node of the graph are reached like any other.
     """
     reached = written(starts.select("node").where("node is not null").distinct().withColumn("hops", F.lit(0)), "closure")
     frontier, parts = reached, [reached]
     steps = edges.select("src", "dst").where("src is not null and dst is not null")
-    for hop in range(1, max_rounds + 1):
+    for hop in count(1) if max_rounds is None else range(1, max_rounds + 1):
         nxt = steps.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
         seen = reduce(DataFrame.unionByName, parts).select("node")
         frontier = written(nxt.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)), "closure")
@@ -62,7 +64,7 @@ def closure(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> Data
 
 def k_hop(edges: DataFrame, starts: DataFrame, k: int) -> DataFrame:
     """(node, hops) within ``k`` steps over undirected edges; all of the component for -1."""
-    return closure(both_ways(edges), starts, max_rounds=k if k >= 0 else 10**6)
+    return closure(both_ways(edges), starts, max_rounds=k if k >= 0 else None)
 
 
 def topological_levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
