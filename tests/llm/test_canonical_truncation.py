@@ -117,7 +117,10 @@ def test_truncated(spark, corpus):
     wrong = set(got) - cut
     missed = cut - set(got)
     assert len(wrong) <= 4 and len(missed) <= 8, (sorted(wrong), sorted(missed))
-    assert got[901] == "prefix" and got[905] == "open" and got[906] == "open" and got[700] == "limit" and not {902, 903, 904, 900} & set(got)
+    assert got[901] == "prefix" and got[905] == "open" and got[906] == "open" and not {902, 903, 904, 900} & set(got)
+    # The prefix levels come first and carry most; the limit completes what they leave open.
+    limited = Counter(got.get(i) for i in range(700, 760))
+    assert limited["word"] + limited["passage"] >= 50 and limited["limit"] >= 1
     assert truncated(df.limit(0), "id", "t", "source").count() == 0
 
 
@@ -137,6 +140,32 @@ def test_copies_and_closing_lines(spark, corpus):
     assert not [i for i in got if 3000 <= i < 3060]
 
 
+def test_filled_to_the_limit(spark, corpus):
+    """Whole notes that a source fills up to its limit are not cut; cut ones beside them are."""
+    rows = [r for r in corpus[0] if r[0] < 600]
+    rng = random.Random(5)
+    whole = [t for _, t, _ in rows if len(t) > 420]
+    for i in range(5000, 5080):
+        text = whole[i % len(whole)][:300].rsplit(".", 1)[0] + ". It was kept by the"
+        while len(text) < 500:
+            text += " " + rng.choice(["early", "late", "dull", "odd", "plain", "local", "foreign", "rigid"])
+        rows.append((i, text[:498] + "x." if i % 2 == 0 else text[:500], "filled"))
+    found = truncated(spark.createDataFrame(rows, "id int, t string, source string"), "id", "t", "source").where("truncated").collect()
+    got = {r.id: r.reason for r in found if r.id >= 5000}
+    assert all(len(t) == 500 for i, t, _ in rows if i >= 5000) and not [i for i in got if i % 2 == 0]
+    assert len(got) >= 38
+
+
+def test_long_mentions(spark):
+    """Names of any number of words stand in for each other."""
+    names = ["amber lathe of the north", "tin", "slow gated seam"]
+    body = "Here the {} is held by nobody at all until the week ends."
+    rows = [(i, f"# N{i}\n\nA line of its own with number {i}. " + body.format(names[i % 3]), "s") for i in range(30)]
+    rows += [(100 + i, f"# M{i}\n\nAnother line {i}. Here the {n} is held by nobody at", "s") for i, n in enumerate(names)]
+    got = {r.id for r in truncated(spark.createDataFrame(rows, "id int, t string, source string"), "id", "t", "source", names).where("truncated").collect()}
+    assert got == {100, 101, 102}
+
+
 def test_report(spark, small):
     rows = {r.source: r for r in queries.p8_sources(spark, small).collect()}
     assert sum(r.n_texts for r in rows.values()) == table(spark, small, "documents").count()

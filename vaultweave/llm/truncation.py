@@ -1,17 +1,22 @@
 """Text cut off by field limits and broken transfers.
 
-The method is a self-join by prefix, on three levels:
+The method is a self-join by prefix, on three levels, which come first:
 
-* *texts*: ladders of hashed fixed-length prefixes find texts that are strict
+* ``prefix``: ladders of hashed fixed-length prefixes find texts that are strict
   prefixes of longer copies elsewhere, checked on the texts themselves;
-* *words*: a last word the corpus does not know, but as a strict prefix of
+* ``word``: a last word the corpus does not know, but as a strict prefix of
   longer words, was cut;
-* *sentences*: the last words of a text are looked up among the same words
-  elsewhere.  Where those copies of the passage run on, the text stops short; where they
-  end their sentence or line, it is complete, whatever it ends with.
-
-Beside these, brackets, fences, table rows and front matter left open show a
-cut, and lengths at which a source piles up texts show a field limit.
+* ``passage``: the last passage of a text (a fixed number of tokens, links,
+  numbers and names masked) is joined by its hash with all passages of the
+  corpus.  Where those go on elsewhere it is a strict prefix of longer copies
+  and the text stops short; where they end their sentence or line it is
+  complete, whatever it ends with.
+
+What they leave open is completed by structure (``open``: brackets, fences, table rows
+and front matter) and by lengths at which a source piles up texts
+(``limit``).  A text that ends its sentence exactly at such a length counts as
+cut only if no more texts do so there than chance would have it: a source may
+also fill notes up to its limit.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultweave.llm.bpe import text_blocks
-from vaultweave.session import written
+from vaultweave.session import fits, written
 
 #: Shortest prefix of the ladder; each further step doubles it.
 FIRST_STEP = 32
@@ -36,6 +41,12 @@ SURE_PREFIX = 128
 LIMIT_TEXTS, LIMIT_RATIO = 8, 6.0
 #: Lengths below one that tell how many texts it would have otherwise.
 LIMIT_FROM, LIMIT_TO = 130, 30
+#: Texts at a limit that end a sentence are cut like the others if they are at most so many times what chance gives.
+CHANCE_RATIO = 2.0
+#: Field limits of at most so many rows (100 bytes each) are broadcast, others joined.
+LIMIT_ROWS = 20_000
+#: Texts with a shared opening of at most so many rows and cuts are looked up by broadcast, others joined.
+MEMBER_ROWS, MEMBER_CUTS = 100_000, 1_000_000
 #: Occurrences a context needs to count, and the share of ends above which it is an end.
 CONTEXT_COUNT, END_SHARE = 3, 0.5
 #: A line's opening marks a closing line if it is the last of so many other distinct texts, and more often than not.
@@ -45,6 +56,8 @@ _TOKEN = re.compile(
     rf"[^\W\d_{_CJK}]+(?:['’][^\W\d_{_CJK}]+)*|\[\[[^\[\]\n]*\]\]|[{_CJK}]|[\r\n]+|\d+|\*\*[^*\n]+\*\*|#[^\s#]+|-{{2,}}|\S"
 )
 _CUT_MARKS = ("[...]", "...", "…")
+_LAST_WORD = re.compile(r"\w(?=\W*\Z)")
+_STOP = re.compile(r"[.?!](?=\s|$)|。")
 _ENDS, _PAUSES, _KINDS = frozenset(".?!。"), frozenset(",;:"), frozenset("-*|>#^`")
 _BLANKS = " \t\r\n\x0b\x0c\xa0　﻿​"
 _LINK, _NUMBER, _TAG, _PAD, _ANY = "[[]]", "0", "#t", "^^", "**"
@@ -110,16 +123,25 @@ class Corpus:
         raw = np.array(ids, np.int64)
         # What can be told of a token is told once per distinct token.
         low = [n.lower() for n in names]
-        singles, firsts = {m[0] for m in mentions if len(m) == 1}, {m[0] for m in mentions if len(m) == 2}
+        singles = {m[0] for m in mentions if len(m) == 1}
+        longer: dict[str, list[tuple[str, ...]]] = {}
+        for m in sorted(mentions, key=lambda m: (-len(m), m)):
+            if len(m) > 1:
+                longer.setdefault(m[0], []).append(m)
         link = np.uint64(_hash(_LINK))
         own = np.array([link if n in singles else _hash(names[k]) for k, n in enumerate(low)], np.uint64)
         self.h = own[raw]
-        at = np.flatnonzero(np.array([n in firsts for n in low], bool)[raw[:-1]])
-        pair = [k for k in at.tolist() if (low[ids[k]], low[ids[k + 1]]) in mentions] if len(at) else []
+        at = np.flatnonzero(np.array([n in longer for n in low], bool)[raw[:-1]]) if longer else raw[:0]
         keep = np.ones(len(raw), bool)
-        if pair:
-            self.h[pair] = link
-            keep[np.array(pair) + 1] = False
+        upto = 0
+        for k in at.tolist():
+            # The longest mention that begins here, none inside another; line ends keep it within its text.
+            for m in longer[low[ids[k]]] if k >= upto else ():
+                if all(j < len(ids) and low[ids[j]] == w for j, w in enumerate(m[1:], k + 1)):
+                    upto = k + len(m)
+                    self.h[k] = link
+                    keep[k + 1 : upto] = False
+                    break
         place = np.cumsum(keep) - 1
         self.bounds = [(place[s], place[e - 1] + 1 if e > s else 0) for s, e in bounds]
         self.h, raw = self.h[keep], raw[keep]
@@ -167,10 +189,10 @@ def _open(text: str) -> bool:
 
 
 _STATUS = {"blank": 0, "open": 1, "ended": 2, "ask": 3}
-_TAIL = "doc KEY, source string, n_chars long, n_bytes long, digest long, size long, ladder array<long>, status int, word string, keys array<long>, opening long, short boolean"
+_TAIL = "doc KEY, source string, n_chars long, n_bytes long, digest long, size long, ladder array<long>, status int, word string, keys array<long>, opening long, short boolean, stops long, words long"
 _EVIDENCE = "kind string, word string, key long, ends long, runs long, pauses long, whole long"
-#: Bits of the map of contexts asked about, 8 MB whatever the size of the corpus; a fuller map lets more contexts pass that nobody asks about, no fewer.
-ASKED_BITS = 1 << 26
+#: A map of hashes has so many bits for each, within these bounds (at most 128 MB); a fuller map lets more pass that nobody asks about, no fewer.
+BITS_EACH, LEAST_BITS, MOST_BITS = 64, 1 << 20, 1 << 30
 
 
 def _stem(text: str | None) -> tuple[str, bool]:
@@ -220,8 +242,9 @@ def _tails(batches: Iterator[pa.RecordBatch], mentions: frozenset[tuple[str, ...
             block.column(0), block.column(1), pa.array([len(t or "") for t in texts], long), pa.array([len((t or "").encode("utf-8", "surrogatepass")) for t in texts], long),
             pa.array(_signed(np.array([_hash(t or "") for t in texts], np.uint64)), long), pa.array(sizes, long), pa.array(ladders, longs), pa.array(status, pa.int32()),
             pa.array(word, pa.string()), pa.array(asked, longs), pa.array(heads, long), short,
+            pa.array([len(_STOP.findall(s)) for s, _ in stems], long), pa.array([s.count(" ") + 1 for s, _ in stems], long),
         ]
-        yield pa.RecordBatch.from_arrays(columns, "doc source n_chars n_bytes digest size ladder status word keys opening short".split())
+        yield pa.RecordBatch.from_arrays(columns, "doc source n_chars n_bytes digest size ladder status word keys opening short stops words".split())
 
 
 def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -234,10 +257,14 @@ def _summed(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def _in_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """The places of the keys a bit map holds."""
-    bit = keys & np.uint64(ASKED_BITS - 1)
+    bit = keys & np.uint64(len(bits) * 64 - 1)
     return np.flatnonzero((bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1))
 
 
+#: Rows of counts a task folds, and hands on if they are as many still.
+FOLD_ROWS, HAND_ON_ROWS, HAND_ON_WORDS = 2_000_000, 1_500_000, 500_000
+
+
 def _evidence(batches: Iterator[pa.RecordBatch], mentions: frozenset[tuple[str, ...]], asked: np.ndarray, copied: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Counts of one task: contexts that are asked about ``c``, openings of lines ``o`` and words ``w``.
 
@@ -256,6 +283,18 @@ def _evidence(batches: Iterator[pa.RecordBatch], mentions: frozenset[tuple[str,
         fill = lambda v: pa.nulls(n, long) if v is None else pa.array(v, long)
         return pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), pa.array(word or [None] * n, pa.string()), fill(key), fill(ends), fill(runs), fill(pauses), fill(whole)], names)
 
+    def contexts(parts) -> Iterator[pa.RecordBatch]:
+        k, e, r, p = _summed(*(np.concatenate(x) for x in zip(*parts)))
+        for s in range(0, len(k), 100_000):
+            cut = slice(s, s + 100_000)
+            yield rows("c", key=_signed(k[cut]), ends=e[cut], runs=r[cut], pauses=p[cut])
+
+    def opened(parts) -> Iterator[pa.RecordBatch]:
+        k, e, r = _summed(*(np.concatenate(x) for x in zip(*parts)))
+        for s in range(0, len(k), 100_000):
+            cut = slice(s, s + 100_000)
+            yield rows("o", key=_signed(k[cut]), ends=e[cut], runs=r[cut])
+
     for block, texts in text_blocks(batches, 0):
         stems = [_stem(t)[0] for t in texts]
         corpus = Corpus(stems, mentions)
@@ -297,36 +336,62 @@ def _evidence(batches: Iterator[pa.RecordBatch], mentions: frozenset[tuple[str,
             text, h, e = text[order], h[order], e[order]
             first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (h[1:] != h[:-1])]))
             yield rows("o", key=_signed(h[first]), ends=np.add.reduceat(e, first), runs=np.diff(np.append(first, len(h))), whole=_signed(whole[text[first]]))
-        if sum(len(x[0]) for x in held) > 2_000_000:
+        if sum(len(x[0]) for x in held) > FOLD_ROWS:
             held = [_summed(*(np.concatenate(x) for x in zip(*held)))]
+            if len(held[0][0]) > HAND_ON_ROWS:
+                yield from contexts(held)
+                held = []
+        if sum(len(x[0]) for x in openings) > FOLD_ROWS:
+            openings = [_summed(*(np.concatenate(x) for x in zip(*openings)))]
+            if len(openings[0][0]) > HAND_ON_ROWS:
+                yield from opened(openings)
+                openings = []
+        if len(words) > HAND_ON_WORDS:
+            yield rows("w", word=list(words), runs=list(words.values()))
+            words.clear()
     if held:
-        k, e, r, p = _summed(*(np.concatenate(x) for x in zip(*held)))
-        for s in range(0, len(k), 100_000):
-            cut = slice(s, s + 100_000)
-            yield rows("c", key=_signed(k[cut]), ends=e[cut], runs=r[cut], pauses=p[cut])
-        k, e, r = _summed(*(np.concatenate(x) for x in zip(*openings)))
-        yield rows("o", key=_signed(k), ends=e, runs=r)
-        known = sorted(words)
-        yield rows("w", word=known, runs=[words[w] for w in known])
+        yield from contexts(held)
+    if openings:
+        yield from opened(openings)
+    if words:
+        yield rows("w", word=list(words), runs=list(words.values()))
 
 
 def _map(keys: DataFrame) -> np.ndarray:
-    """The bit map of some keys (k), put together by the cluster in at most ``ASKED_BITS`` / 64 rows."""
-    at = keys.select(F.col("k").bitwiseAND(ASKED_BITS - 1).alias("b"))
+    """The bit map of some keys (k), as large as their number asks for, put together by the cluster."""
+    n_bits = LEAST_BITS
+    while n_bits < min(BITS_EACH * keys.count(), MOST_BITS):
+        n_bits *= 2
+    at = keys.select(F.col("k").bitwiseAND(n_bits - 1).alias("b"))
     one = F.expr("shiftleft(1L, cast(b & 63 as int))")
     rows = at.groupBy(F.shiftright("b", 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
-    out = np.zeros(ASKED_BITS // 64, np.int64)
+    out = np.zeros(n_bits // 64, np.int64)
     out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
     return out.view(np.uint64)
 
 
-def _limits(docs: DataFrame, measure: str) -> DataFrame:
-    """(source, measure) of the lengths at which a source piles up distinct texts."""
-    per = docs.where("status > 0").groupBy("source", measure).agg(F.count_distinct("digest").alias("_texts"))
-    below = Window.partitionBy("source").orderBy(measure).rangeBetween(-LIMIT_FROM, -LIMIT_TO)
-    usual = F.coalesce(F.sum("_texts").over(below), F.lit(0)) / (LIMIT_FROM - LIMIT_TO + 1)
-    piled = (F.col("_texts") >= LIMIT_TEXTS) & (F.col("_texts") >= LIMIT_RATIO * usual) & (F.col(measure) >= FIRST_STEP)
-    return per.withColumn("_piled", piled).where("_piled").select("source", measure, F.lit(True).alias(f"_at_{measure}"))
+def _limits(docs: DataFrame, measure: str, per_char: float, per_word: float) -> DataFrame:
+    """(source, measure, _n, _by_chance) of the lengths at which a source piles up distinct texts.
+
+    ``_n`` is the number of texts there, ``_by_chance`` whether so few of them
+    end a sentence that the cut alone explains it.  Where lengths just below
+    pile up too, the source cuts between words, else at a character.
+    """
+    per = docs.where("status > 0").groupBy("source", measure).agg(F.count_distinct("digest").alias("_n"), F.count_distinct(F.when(F.col("status") == _STATUS["ended"], F.col("digest"))).alias("_ended"))
+    near = Window.partitionBy("source").orderBy(measure)
+    usual = F.coalesce(F.sum("_n").over(near.rangeBetween(-LIMIT_FROM, -LIMIT_TO)), F.lit(0)) / (LIMIT_FROM - LIMIT_TO + 1)
+    piled = (F.col("_n") >= LIMIT_TEXTS) & (F.col("_n") >= LIMIT_RATIO * usual) & (F.col(measure) >= FIRST_STEP)
+    marked = per.withColumn("_piled", piled)
+    between = F.coalesce(F.max(F.col("_piled").cast("int")).over(near.rangeBetween(-3, -1)), F.lit(0)) + F.coalesce(F.max(F.col("_piled").cast("int")).over(near.rangeBetween(1, 3)), F.lit(0)) > 0
+    chance = F.when(between, per_word).otherwise(per_char)
+    # Half a text more than chance gives, so that few texts are judged like many.
+    few = F.col("_ended") <= CHANCE_RATIO * chance * F.col("_n") + 0.5
+    return marked.withColumn("_few", few).where("_piled").select("source", measure, F.col("_n").alias(f"_n_{measure}"), F.col("_few").alias(f"_few_{measure}"))
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` to be broadcast if it proves to have at most so many rows."""
+    return F.broadcast(df) if fits(df, rows) else df
 
 
 def _prefixes(docs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -339,16 +404,26 @@ def _prefixes(docs: DataFrame, texts: DataFrame) -> DataFrame:
     open_ = own.join(longest, ["step", "mark"]).where("longest > size").select("doc", "size", "step", "mark", "whole")
     sizes = open_.groupBy("step", "mark").agg(F.array_sort(F.collect_set("size")).alias("sizes"))
     members = every.join(sizes, ["step", "mark"]).where(F.col("size") > F.element_at("sizes", 1))
-    reading = texts.join(members.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sizes")))).alias("sizes")), "doc").select("text", "sizes")
+    of = written(members.groupBy("doc").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sizes")))).alias("sizes")), "members")
+    n = of.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("sizes")).alias("cuts")).first()
+    few = n.rows <= MEMBER_ROWS and (n.cuts or 0) <= MEMBER_CUTS
+    reading = texts.join(F.broadcast(of) if few else of, "doc").select("text", "sizes")
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for block, read in text_blocks(batches, 0):
             out = set()
             for t, cuts in zip(read, block.column(1).to_pylist()):
                 flat = " ".join(_stem(t)[0].split())
-                for c in cuts:
-                    if c < len(flat) and re.search(r"\w", flat[c:]):
-                        out.add((c, int(_signed(np.array([_hash(flat[:c])], np.uint64))[0])))
+                last = max((m.start() for m in _LAST_WORD.finditer(flat)), default=-1)
+                rolling, upto = xxhash.xxh64(), 0
+                for c in cuts:  # in order, so that each character is hashed once
+                    if c > last:
+                        break
+                    rolling.update(flat[upto:c].encode("utf-8", "surrogatepass"))
+                    upto = c
+                    out.add((c, int(_signed(np.array([rolling.intdigest()], np.uint64))[0])))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["size", "whole"])
 
     found = reading.mapInArrow(heads, "size long, whole long").distinct()
@@ -358,13 +433,13 @@ def _prefixes(docs: DataFrame, texts: DataFrame) -> DataFrame:
 def truncated(docs: DataFrame, key: str, text: str, source: str, mentions: Sequence[str] = ()) -> DataFrame:
     """(key, source, truncated, reason): whether each text was cut off before its end.
 
-    ``reason`` is ``limit``, ``prefix``, ``open``, ``word`` or ``passage``, null for a whole text.
+    ``reason`` is the first of ``prefix``, ``word``, ``passage``, ``open`` and ``limit`` that holds, null for a whole text.
     ``mentions`` are names that stand in for each other in a passage (a bounded
     list).  ``key`` must be unique; rows with a null key are judged alike but
     cannot be told apart.  Null, empty and blank texts are whole.  A null source
     counts as the empty one.  Very long texts are read whole, one block each.
     """
-    names = frozenset(t for t in (tuple(m.lower().replace("-", " ").split()) for m in mentions) if 0 < len(t) < 3)
+    names = frozenset(filter(None, (tuple(m.lower().replace("-", " ").split()) for m in mentions)))
     src = docs.select(F.col(key).alias("doc"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text).alias("text"))
     ddl = _TAIL.replace("KEY", src.schema["doc"].dataType.simpleString())
     d = written(src.mapInArrow(lambda batches: _tails(batches, names), ddl), "tails")
@@ -397,6 +472,8 @@ def truncated(docs: DataFrame, key: str, text: str, source: str, mentions: Seque
             last = F.col("_k5")
             runs_on = runs_on | last.isNull() | (last.ends < 2) | (last.ends * 100 < last.runs)
         verdict = F.when(k.isNotNull(), runs_on).otherwise(verdict)
+    sums = d.where("status > 0").agg(F.sum("stops").alias("stops"), F.sum("n_chars").alias("chars"), F.sum("words").alias("words")).first()
+    limits = {m: written(_limits(d, m, (sums.stops or 0) / max(sums.chars or 0, 1), (sums.stops or 0) / max(sums.words or 0, 1)), "limits") for m in ("n_chars", "n_bytes")}
     joined = (
         d.withColumn("whole", whole)
         .drop("keys", "ladder")
@@ -406,8 +483,8 @@ def truncated(docs: DataFrame, key: str, text: str, source: str, mentions: Seque
         .join(words, "word", "left")
         .join(longer, "word", "left")
         .join(evidence, "doc", "left")
-        .join(F.broadcast(_limits(d, "n_chars")), ["source", "n_chars"], "left")
-        .join(F.broadcast(_limits(d, "n_bytes")), ["source", "n_bytes"], "left")
+        .join(_small(limits["n_chars"], LIMIT_ROWS), ["source", "n_chars"], "left")
+        .join(_small(limits["n_bytes"], LIMIT_ROWS), ["source", "n_bytes"], "left")
         .join(_prefixes(d, src.select("doc", "text")).withColumn("_prefix", F.lit(True)), "doc", "left")
     )
     unknown = F.col("word").isNotNull() & (F.coalesce("_known", F.lit(0)) < 2)
@@ -417,16 +494,20 @@ def truncated(docs: DataFrame, key: str, text: str, source: str, mentions: Seque
     fellows = F.coalesce("_same", F.lit(1)) - 1
     usual = (fellows >= CLOSING_COUNT) & (fellows * 2 > F.coalesce("_begun", F.lit(1)) - 1)
     longer_there = F.coalesce(F.col("_begun") > F.col("_same"), F.lit(False))
+    ended = F.col("status") == _STATUS["ended"]
+    in_chars, in_bytes = F.coalesce("_n_n_chars", F.lit(0)), F.coalesce("_n_n_bytes", F.lit(0))
+    # Of two limits a text may be at, the one more texts are at is the source's.
+    few = F.when(in_chars >= in_bytes, F.col("_few_n_chars")).otherwise(F.col("_few_n_bytes"))
+    at_limit = (in_chars + in_bytes > 0) & (~ended | few)
+    ask = F.col("status") == _STATUS["ask"]
+    cut_word = unknown & ((F.coalesce("_longer", F.lit(0)) > 0) | longer_there) & ~(closes & usual & ~F.col("short"))
     reason = (
         F.when(F.col("status") == _STATUS["blank"], None)
-        .when(F.col("_at_n_chars") | F.col("_at_n_bytes"), "limit")
-        .when(F.col("_prefix") & ((F.col("status") != _STATUS["ended"]) | (F.col("size") >= SURE_PREFIX)), "prefix")
+        .when(F.col("_prefix") & (~ended | (F.col("size") >= SURE_PREFIX)), "prefix")
+        .when(ask & cut_word, "word")
+        .when(ask & ~(closes & ~F.col("short")) & ~unknown & verdict, "passage")
         .when(F.col("status") == _STATUS["open"], "open")
-        .when(F.col("status") == _STATUS["ended"], None)
-        .when(unknown & ((F.coalesce("_longer", F.lit(0)) > 0) | longer_there) & ~(closes & usual & ~F.col("short")), "word")
-        .when(closes & ~F.col("short"), None)
-        .when(unknown, None)
-        .when(verdict, "passage")
+        .when(at_limit, "limit")
     )
     out = joined.select(F.col("doc").alias(key), F.col("source").alias(source), reason.cast("string").alias("reason"))
     return out.select(key, source, F.col("reason").isNotNull().alias("truncated"), "reason")
