@@ -38,6 +38,47 @@ def test_pairs_small(spark):
     assert cooccurrences(df.limit(0), "b", "item_a").count() == 0
 
 
+@pytest.mark.parametrize("listed, chunk", [(500_000, 2_000_000), (0, 50)])
+def test_pairs_blocks(spark, monkeypatch, listed, chunk):
+    """Sparse and dense blocks, one huge basket, a basket with a third of all rows: equal to brute force."""
+    from vaultweave.llm import cooccurrence
+
+    monkeypatch.setattr(cooccurrence, "LISTED_ITEMS", listed)
+    monkeypatch.setattr(cooccurrence, "CHUNK", chunk)
+    monkeypatch.setattr(cooccurrence, "FOLD", 5_000)
+    monkeypatch.setattr(cooccurrence, "HAND_ON", 2_000)
+    monkeypatch.setattr(cooccurrence, "DENSE_FILL", 20)
+    rng = np.random.default_rng(3)
+    rows = [(f"b{b}", f"i{i:05}") for b in range(60) for i in rng.choice(120, 40, replace=False)]
+    rows += [(f"s{b}", f"i{i:05}") for b in range(200) for i in rng.choice(4000, 5)]
+    rows += [("huge", f"i{i:05}") for i in range(0, 4000, 3)] + [("hot", f"i{i % 7:05}") for i in range(3000)]
+    sets = defaultdict(set)
+    for b, i in rows:
+        sets[b].add(i)
+    single, pair = Counter(), Counter()
+    for c in sets.values():
+        single.update(c)
+        pair.update(combinations(sorted(c), 2))
+    want = {(a, b): (k, single[a], single[b], len(sets)) for (a, b), k in pair.items() if k >= 2 and k * len(sets) >= 1.1 * single[a] * single[b]}
+    df = spark.createDataFrame(rows, "basket string, item string")
+    got = {(r.item_a, r.item_b): (r.n_ab, r.n_a, r.n_b, r.n) for r in cooccurrences(df, "basket", "item", min_count=2, min_lift=1.1).collect()}
+    assert got == want and len(want) > 1000
+
+
+def test_many_items(monkeypatch):
+    """A product over a million items holds what is there, not a million squared."""
+    import pyarrow as pa
+
+    from vaultweave.llm.cooccurrence import _gram
+
+    rng = np.random.default_rng(4)
+    items = rng.integers(0, 1_000_000, (20_000, 6))
+    lists = pa.array([sorted(set(r)) for r in items.tolist()], pa.list_(pa.int64()))
+    batches = [pa.RecordBatch.from_arrays([lists.slice(s, 10_000)], ["items"]) for s in (0, 10_000)]
+    out = list(_gram(iter(batches), lambda x: x))
+    assert sum(b.num_rows for b in out) >= 20_000 * 14 and sum(b.column(2).to_numpy().sum() for b in out) == sum(len(x) * (len(x) - 1) // 2 for x in lists.to_pylist())
+
+
 def test_ids_library(spark, small):
     tokenizers = pytest.importorskip("tokenizers")
     lib = tokenizers.Tokenizer.from_file(PATH)
