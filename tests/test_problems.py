@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vaultweave.functions.keys import note_key
-from vaultweave.operators.hierarchy import ancestors, hierarchy, resolve_paths
+from vaultweave.operators.hierarchy import ancestors, descendants, hierarchy, resolve_paths, several_parents
 from vaultweave.operators.orphans import orphan_references
 from vaultweave.operators.packed import split_packed
 from vaultweave.plans import problems
@@ -57,6 +57,27 @@ def test_hierarchy_small(spark):
     assert resolve_paths(df.limit(0)).count() == 0
 
 
+def test_hierarchy_long(spark):
+    """One cycle of 100,000 nodes with a tail, and a path of 1,000: pointers alone go round the cycle."""
+    n = 100_000
+    ring = spark.range(n).select(F.format_string("r%06d", "id").alias("node"), F.format_string("r%06d", (F.col("id") + 1) % n).alias("parent"))
+    path = spark.range(1000).select(F.format_string("p%04d", "id").alias("node"), F.when(F.col("id") > 0, F.format_string("p%04d", F.col("id") - 1)).alias("parent"))
+    tail = spark.createDataFrame([("t1", "t2"), ("t2", "r054321"), ("a", "b"), ("b", "a")], "node string, parent string")
+    found = resolve_paths(ring.unionByName(path).unionByName(tail))
+    cycles = {r.cycle: r["count"] for r in found.where("cycle is not null").groupBy("cycle").count().collect()}
+    assert cycles == {"r000000": n + 2, "a": 2}
+    depth = hierarchy(found.where("cycle is null")).agg(F.count("*").alias("n"), F.max("depth").alias("d"), F.min("root").alias("r")).first()
+    assert (depth.n, depth.d, depth.r) == (1000, 999, "p0000")
+
+
+def test_descendants_and_parents(spark):
+    links = [("a", None), ("b", "a"), ("c", "b"), ("c", "a"), ("d", "nowhere"), ("x", "y"), ("y", "x"), ("z", "x")]
+    df = spark.createDataFrame(links, "node string, parent string")
+    assert {tuple(r) for r in descendants(resolve_paths(df)).collect()} == {("a", "b", 1), ("a", "c", 1)}
+    assert [tuple(r) for r in several_parents(df).collect()] == [("c", 2, "a")]
+    assert several_parents(df.limit(0)).count() == 0
+
+
 def test_hierarchy_tables(spark, small):
     got = [tuple(r) for r in problems.p2_found(spark, small).collect()]
     links = [tuple(r) for r in problems.node_links(spark, small).collect()]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultweave.functions.keys import is_wikilink, note_key
-from vaultweave.operators.hierarchy import ancestors, hierarchy, resolve_paths
+from vaultweave.operators.hierarchy import ancestors, descendants, hierarchy, resolve_paths, several_parents
 from vaultweave.operators.orphans import orphan_references, orphan_report
 from vaultweave.operators.packed import rules_for, split_packed
 from vaultweave.session import table
@@ -37,13 +37,24 @@ def node_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("node", F.lit(None).cast("string").alias("parent")).unionByName(parents)
 
 
+def concept_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve_paths(node_links(spark, sf_dir))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = resolve_paths(node_links(spark, sf_dir))
-    return ancestors(paths).select(F.col("node").alias("concept"), "ancestor", "steps")
+    return ancestors(concept_paths(spark, sf_dir)).select(F.col("node").alias("concept"), "ancestor", "steps")
 
 
 def p2_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy(resolve_paths(node_links(spark, sf_dir)))
+    return hierarchy(concept_paths(spark, sf_dir))
+
+
+def p2_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return descendants(concept_paths(spark, sf_dir)).select(F.col("node").alias("concept"), "descendant", "steps")
+
+
+def p2_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return several_parents(node_links(spark, sf_dir))
 
 
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +80,8 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_hierarchy": p2_hierarchy,
+    "p2_descendants": p2_descendants,
+    "p2_parents": p2_parents,
     "p3_found": p3_found,
     "p5_found": p5_found,
     "p5_report": p5_report,

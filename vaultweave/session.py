@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+T = TypeVar("T")
+#: Things a Python process keeps at once.
+KEPT = 8
+
+
+def per_process(key: Hashable, make: Callable[[], T]) -> T:
+    """What ``make`` gives, made once per Python process and key.
+
+    Functions travel to the workers by value, so a module's own variables begin
+    anew with every task; this box outlives them.
+    """
+    box = sys.__dict__.setdefault("_vaultweave_kept", {})
+    if key not in box:
+        if len(box) >= KEPT:
+            box.clear()
+        box[key] = make()
+    return box[key]
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "vaultweave") -> SparkSession:
     """A local session with the settings the engine expects of any cluster (UTC, AQE)."""
     return (
@@ -28,23 +50,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the session.
 
     A cluster names a folder all executors share in ``spark.checkpoint.dir``;
-    only where neither that nor a context-level folder is set (tests on one
-    machine) a local one is made.
+    only where neither that nor a context-level folder is set and the master is
+    local (tests on one machine) a local one is made.  A cluster without a
+    shared folder is refused, since its executors could not read each other's rows.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not named and not is_local(sc.master):
+        raise ValueError("name a folder all executors share in spark.checkpoint.dir")
     folder = named or tempfile.mkdtemp(prefix="vaultweave-ckpt-")
     sc.setCheckpointDir(folder)
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and read back from the checkpoint folder, lineage cut."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def is_local(master: str) -> bool:
+    """Whether a master runs everything in one process."""
+    return master == "local" or master.startswith("local[")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
