@@ -43,12 +43,24 @@ def test_distance():
         assert distance(a, b, 3) == min(plain(a, b), 4)
 
 
+def test_long_entries():
+    """Names of many words, long typed values, near words in numbers, repeated mentions: no limit but the list's own."""
+    matcher = Matcher([(1, ["slow gated inner seam ledger"]), (2, ["plateau"]), *[(10 + i, [f"tin{chr(97 + i)} ledger"]) for i in range(20)]], ["re", "of"])
+    assert matcher.find("slow gated iner seam ledger") == 1 and matcher.find("Re: ledgers seam inner gated slow") == 1
+    assert matcher.find("p l a t e a u") == 2 and matcher.find("tint ledgr") == 10 + ord("t") - 97
+    assert matcher.find("slow gated iner seam ledger of something else") == -1
+    # A value of many mentions means no single entry, however long it is.
+    assert matcher.find("plateau " * 40000) == -1 and matcher.find("slow gated inner seam ledger " * 20000) == -1
+
+
 def test_map_frame(spark):
     rows = [(v, i, "keep") for i, v in enumerate(MEANT)] * 2
     df = spark.createDataFrame(rows, "v string, field int, `a b` string").withColumn("concept_id", F.lit("clash"))
     got = map_values(df, "v", ENTRIES)
     assert Counter((r.v, r.concept_id) for r in got.collect()) == Counter({(v, c): 2 for v, c in MEANT.items()})
     assert map_values(df.limit(0), "v", ENTRIES).count() == 0 and map_values(df, "v", []).where("concept_id <> -1").count() == 0
+    clash = df.select("v", F.lit(1).alias("_typed"), F.lit(2).alias("_means"))
+    assert map_values(clash, "v", ENTRIES).where("_typed = 1 and _means = 2").count() == len(rows)
     assert unmatched_report(got.selectExpr("v", "'f' as f", "concept_id"), "v", "f").first().n_unmatched == 2 * sum(c == -1 for c in MEANT.values())
 
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vaultweave.session import per_process
+
 #: Characters of text whose distinct words are replayed together, and words a task remembers.
 BLOCK_CHARS, KNOWN_WORDS = 8_000_000, 400_000
 #: The published word pattern of the byte-level vocabularies (fixed value).
@@ -136,14 +138,9 @@ class MergeReplay:
         return ids, np.diff(ends)
 
 
-_LOADED: dict[str, MergeReplay] = {}
-
-
 def load(path: str) -> MergeReplay:
-    """The vocabulary at ``path``, read once per process."""
-    if path not in _LOADED:
-        _LOADED[path] = MergeReplay(path)
-    return _LOADED[path]
+    """The vocabulary at ``path`` and the words encoded so far, kept per process."""
+    return per_process(("bpe", path), lambda: MergeReplay(path))
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = BLOCK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:

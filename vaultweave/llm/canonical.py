@@ -12,13 +12,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vaultweave.session import per_process
+
 #: A canonical list of at most so many entries is sent to every task (some 100 bytes each).
 MAX_ENTRIES = 50_000
 #: Values a task remembers the answer of.
@@ -28,8 +33,8 @@ LEAST_WORD, MARGIN, LEAST_VALUE = 0.5, 0.12, 0.7
 #: Letters of other scripts that look like Latin ones, and digits typed for letters (fixed values).
 LOOKALIKES = str.maketrans("аеорсухіјѕԁһӏɡкмтвн", "aeopcyxijsdhlgkmtbh")
 DIGITS = {"0": "o", "1": "li", "3": "e", "4": "a", "5": "s", "7": "t"}
-#: Words that frame a value without being part of it (fixed values).
-FRAME = frozenset("the a an re cf see old of concept concepts core draft v1 v2 v3 md new".split())
+#: Words that frame a value without being part of it, if the caller names no others.
+FRAME = frozenset("the a an of re cf see old new draft".split())
 _WORD = re.compile(r"[^\W_]+\.?(?![^\W_]*/)")
 
 
@@ -48,24 +53,55 @@ def words(text: str) -> list[str]:
     return _WORD.findall(t)
 
 
-def distance(a: str, b: str, most: int) -> int:
-    """Edit distance with swaps of neighbours, ``most`` + 1 if larger."""
-    if abs(len(a) - len(b)) > most:
+def _counts(word: str) -> np.ndarray:
+    """How often each letter a-z stands in a word."""
+    return np.bincount([ord(c) - 97 for c in word if "a" <= c <= "z"], minlength=26).astype(np.int8)
+
+
+def places(word: str) -> dict[str, int]:
+    """Where each letter of a word stands, as bits."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(word):
+        at[c] = at.get(c, 0) | 1 << i
+    return at
+
+
+def distance(a: str, b: str, most: int, at: dict[str, int] | None = None) -> int:
+    """Edit distance with swaps of neighbours, ``most`` + 1 if larger; ``at`` are the places of ``a``, if known.
+
+    A column of the usual table is kept as bits of two whole numbers, so each
+    letter of ``b`` takes a few operations.
+    """
+    m = len(a)
+    if abs(m - len(b)) > most:
         return most + 1
-    before, row = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row = row, [i] + [0] * len(b)
-        best = i
-        for j, y in enumerate(b, 1):
-            v = last[j - 1] if x == y else 1 + min(last[j - 1], last[j], row[j - 1])
-            if before is not None and i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                v = min(v, before[j - 2] + 1)
-            row[j] = v
-            best = min(best, v)
-        if best > most:
+    if not m:
+        return len(b)
+    at = places(a) if at is None else at
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, diagonal, before, score = full, 0, 0, 0, m
+    for left, c in zip(range(len(b) - 1, -1, -1), b):
+        here = at.get(c, 0)
+        swapped = ((~diagonal & here) << 1) & before
+        diagonal = ((((here & up) + up) ^ up) | here | down | swapped) & full
+        plus = down | (full & ~(diagonal | up))
+        minus = diagonal & up
+        if plus & top:
+            score += 1
+        elif minus & top:
+            score -= 1
+        if score - left > most:
             return most + 1
-        before = last
-    return min(row[-1], most + 1)
+        plus = (plus << 1) | 1
+        up = ((minus << 1) | ~(diagonal | plus)) & full
+        down = plus & diagonal
+        before = here
+    return min(score, most + 1)
+
+
+def shortened(w: str) -> set[str]:
+    """A word and all it becomes by leaving one letter out; words one edit or swap apart share one of these."""
+    return {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
 
 
 def bones(w: str) -> str:
@@ -87,11 +123,12 @@ def plurals(w: str) -> set[str]:
 
 
 class Matcher:
-    """The canonical list, ready to map values: ``entries`` are (id, names)."""
+    """The canonical list, ready to map values: ``entries`` are (id, names), ``frame`` words that may stand around a name."""
 
-    def __init__(self, entries: Sequence[tuple[int, Sequence[str]]]):
+    def __init__(self, entries: Sequence[tuple[int, Sequence[str]]], frame: Iterable[str] = FRAME):
         import ahocorasick
 
+        self.frame = frozenset(frame)
         self.ids: dict[tuple[str, ...], int] = {}
         for number, names in sorted(entries):
             for name in names:
@@ -103,7 +140,14 @@ class Matcher:
         for key, number in self.ids.items():
             self.sets.setdefault(tuple(sorted(key)), number)
         self.letters = {w: letters(w) for w in self.vocabulary}
-        self.tries = [(w, bones(w), {bones(w) + "s", bones(w + "s")}, {w: 0.0} | dict.fromkeys(sorted(plurals(w)), 0.02)) for w in self.vocabulary]
+        #: Words of the longest entry.
+        self.most_words = max(map(len, self.ids), default=0)
+        # Of each word: its bones, how they end in the plural, its forms with what each costs and the places of their letters.
+        self.looks = []
+        for w in self.vocabulary:
+            forms = {w: 0.0} | dict.fromkeys(sorted(plurals(w)), 0.02)
+            self.looks.append((w, bones(w), {bones(w) + "s", bones(w + "s")}, {f: (cut, places(f)) for f, cut in forms.items()}))
+        self._index()
         self.by_word = defaultdict(set)
         for key in self.sets:
             for w in key:
@@ -150,6 +194,47 @@ class Matcher:
             self.close[w] = sorted(((s, t) for t, s in best.items() if s >= LEAST_WORD), reverse=True)
         return self.close[w]
 
+    def _index(self) -> None:
+        """The ways from a typed word to the few words of the list it could be near."""
+        same: dict[str, set[int]] = defaultdict(set)
+        near_bones: dict[str, set[int]] = defaultdict(set)
+        begins: dict[tuple[int, str], set[int]] = defaultdict(set)
+        for i, (w, bone, more_bones, forms) in enumerate(self.looks):
+            for x in (bone, *more_bones, *forms):
+                same[x].add(i)
+            if len(bone) >= 4:
+                for x in shortened(bone):
+                    near_bones[x].add(i)
+            for at, x in ((0, w[:1]), (0, w[:2]), (1, w[1:2])):
+                begins[at, x].add(i)
+        self.same, self.near_bones, self.begins = dict(same), dict(near_bones), dict(begins)
+        self.masks = np.array([self.letters[w] for w in self.vocabulary], np.uint32)
+        self.sizes = np.array([len(w) for w in self.vocabulary], np.int32)
+        self.most = np.where(self.sizes < 4, 1, np.where(self.sizes <= 7, 2, 3))
+        self.counts = np.array([_counts(w) for w in self.vocabulary], np.int8).reshape(-1, 26)
+
+    def _candidates(self, w: str, short: bool) -> list[int]:
+        """Every word of the list that may score, in order; which do is for :meth:`_word` to tell."""
+        size = len(w)
+        out = set(self.same.get(w, ()))
+        if size >= 3:
+            out.update(range(bisect_left(self.vocabulary, w), bisect_right(self.vocabulary, w + "\U0010ffff")))
+            for x in shortened(w):
+                out |= self.near_bones.get(x, set())
+            # Each letter that only one of the two has costs an edit of its own; a plural adds up to three letters.
+            mask = np.uint32(letters(w))
+            near = np.abs(self.sizes - size) <= self.most + 2
+            near &= np.bitwise_count(self.masks & ~mask) <= self.most
+            near &= np.bitwise_count(mask & ~self.masks) <= self.most + 1
+            few = np.flatnonzero(near)
+            if len(few):
+                extra = self.counts[few] - _counts(w)
+                lacking, more = np.maximum(extra, 0).sum(1), np.maximum(-extra, 0).sum(1)
+                out.update(few[(lacking <= self.most[few] + 1) & (more <= self.most[few] + 3)].tolist())
+            if short:
+                out |= self.begins.get((0, w[:1]), set()) | self.begins.get((0, w[1:3]), set()) | self.begins.get((1, w[:1]), set())
+        return sorted(out)
+
     def _word(self, w: str) -> Iterator[tuple[float, str]]:
         short, w = w.endswith("."), w.rstrip(".")
         if not w:
@@ -157,7 +242,8 @@ class Matcher:
         if w in self.letters:
             yield 1.0, w
         mask, size = letters(w), len(w)
-        for t, bone, more_bones, forms in self.tries:
+        for i in self._candidates(w, short):
+            t, bone, more_bones, forms = self.looks[i]
             if w == t:
                 continue
             score = 0.98 if w in forms else 0.0
@@ -171,11 +257,12 @@ class Matcher:
                 elif len(bone) >= 4 and abs(size - len(bone)) <= 1 and distance(w, bone, 1) == 1:
                     score = max(score, 0.7)
                 most = 1 if len(t) < 4 else 2 if len(t) <= 7 else 3
-                # Each letter that only one of the two has costs an edit of its own.
                 if (self.letters[t] & ~mask).bit_count() <= most and (mask & ~self.letters[t]).bit_count() <= most + 1:
-                    for form, cut in forms.items():
-                        if abs(len(form) - size) <= most:
-                            d = distance(w, form, most)
+                    # A plural in (e)s is at most two letters nearer than the word itself.
+                    itself = distance(t, w, most + 2, forms[t][1])
+                    for form, (cut, at) in forms.items():
+                        if abs(len(form) - size) <= most and (itself - len(form) + len(t) <= most or form[:-3] + "y" == t):
+                            d = itself if form == t else distance(form, w, most, at)
                             if d <= most:
                                 score = max(score, 1 - cut - 0.8 * d / len(form) - (0.1 if d == most > 1 else 0))
                 if short:
@@ -205,44 +292,52 @@ class Matcher:
         hit = self._mention(bare)
         if hit is not None:
             return hit
-        kept = [w for w, b in zip(typed, bare) if b not in FRAME] or typed
+        kept = [w for w, b in zip(typed, bare) if b not in self.frame] or typed
         return self._similar(kept)
 
     def _mention(self, bare: list[str]) -> int | None:
-        """The entry of the longest mention, if what is left over is frame only or the mention has several words."""
-        if len(bare) > 64:
-            spans = [bare]
-        else:
-            spans = [bare, [b for b in bare if b not in FRAME]]
+        """The entry of the longest mention, if what is left over is frame only, or near no word of the list."""
         best: tuple[int, int, int] | None = None
-        for span in spans:
+        for span in (bare, [b for b in bare if b not in self.frame]):
             text = f" {' '.join(span)} "
-            taken = []
             found = sorted(((n, end - n + 1, number, size) for end, (n, number, size) in self.automaton.iter(text)), key=lambda m: (-m[0], m[1]))
+            if not found:
+                continue
+            # Mentions begin and end at words: the words before each letter, and how many of them are loose or near the list.
+            before = [0, *accumulate(c == " " for c in text)]
+            loose = [0, *accumulate(w not in self.frame for w in span)]
+            near: list[int] | None = None
+            taken: list[tuple[int, int]] = []
             for n, start, number, size in found:
-                if all(start + n - 1 <= s or start >= e - 1 for s, e in taken):
-                    taken.append((start, start + n))
-                    rest = (text[:start] + " " + text[start + n :]).split()
-                    loose = [w for w in rest if w not in FRAME]
-                    if not loose or (size > 1 and not any(self.word(w) for w in loose)):
-                        best = max(best or (0, 0, 0), (n, -start, number))
+                k = bisect_left(taken, (start, 0))
+                if (k and taken[k - 1][1] - 1 > start) or (k < len(taken) and taken[k][0] < start + n - 1):
+                    continue
+                taken.insert(k, (start, start + n))
+                i, j = before[start + 1] - 1, before[start + n] - 1
+                rest = loose[-1] - loose[j] + loose[i]
+                if rest and size > 1:
+                    near = near or [0, *accumulate(w not in self.frame and bool(self.word(w)) for w in span)]
+                if not rest or (size > 1 and near[-1] - near[j] + near[i] == 0):
+                    best = max(best or (0, 0, 0), (n, -start, number))
         return best[2] if best else None
 
     def _similar(self, typed: list[str]) -> int:
-        """The entry whose words are closest to the words typed."""
-        ways = [typed]
-        if len(typed) > 4:
-            return -1
-        if len(typed) == 1 or any(len(w) > 11 for w in typed):
+        """The entry whose words are closest to the words typed.
+
+        A set of more words than the longest entry has is no entry's; it may
+        still be one word typed in pieces.
+        """
+        ways = [typed] if len(typed) <= self.most_words else []
+        if len(typed) < max(self.most_words, 2):
             ways += self._cuts(typed)
         if len(typed) > 1:
             ways.append(["".join(typed)])
         best_entry, best_other = (0.0, -1), 0.0
-        for k, way in enumerate(ways):
-            close = [self.word(w)[:12] for w in way]
+        for way in ways:
+            close = [self.word(w) for w in way]
             if not all(close):
                 continue
-            less = 0.0 if k == 0 else 0.01
+            less = 0.0 if way is typed else 0.01
             best_other = max(best_other, sum(c[0][0] for c in close) / len(close) - less)
             for score, key in self._entries(close):
                 if (score - less, -self.sets[key]) > (best_entry[0], -best_entry[1]):
@@ -273,9 +368,12 @@ class Matcher:
                     yield total / len(close), key
 
     def _cuts(self, typed: list[str]) -> Iterator[list[str]]:
-        """The words with one long word cut in two: where a word of the list starts or ends in it, else anywhere."""
+        """The words with one cut in two: where a word of the list starts or ends in it, else anywhere.
+
+        Beside others a word is cut only if it is near no word of the list as it stands.
+        """
         for i, w in enumerate(typed):
-            if not 6 <= len(w.rstrip(".")) <= 2 * self.longest or (len(typed) > 1 and len(w) <= 11):
+            if not 6 <= len(w.rstrip(".")) <= 2 * self.longest or (len(typed) > 1 and self.word(w)):
                 continue
             places = set()
             if any(c in DIGITS for c in w):
@@ -301,28 +399,44 @@ def canonical_entries(entries: DataFrame, number: str, name: str, aliases: str)
     return sorted((r[0], [n for n in [r[1], *(r[2] or [])] if n]) for r in rows if r[0] is not None)
 
 
-def map_values(values: DataFrame, value: str, entries: Sequence[tuple[int, Sequence[str]]], into: str = "concept_id") -> DataFrame:
+def map_values(values: DataFrame, value: str, entries: Sequence[tuple[int, Sequence[str]]], into: str = "concept_id", frame: Iterable[str] = FRAME) -> DataFrame:
     """``values`` with ``into``: the id of the entry each value means, -1 if it means none.
 
-    Each task builds the automaton once and remembers the values it has seen, so
-    repeated values cost a look-up and no row is shuffled.  A null or blank
-    value means none; so does every value where the list is empty.  Of entries
-    with the same words the smallest id wins.  All rows and columns are kept; a
-    column that has the name ``into`` is replaced.
+    Distinct values are mapped once and joined back, so a value that fills a
+    third of all rows is matched once; a Python process builds the automaton
+    once.  ``frame`` are words that may stand around a name without being part
+    of it.  A null or blank value means none; so does every value where the list
+    is empty.  Of entries with the same words the smallest id wins.  All rows
+    and columns are kept; a column that has the name ``into`` is replaced.
     """
     if into in values.columns and into != value:
         values = values.drop(into)
     listed = [(int(i), list(names)) for i, names in entries]
-    at = values.columns.index(value)
+    around = tuple(sorted(frame))
+    key = ("canonical", hash((tuple((i, *names) for i, names in listed), around)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(listed)
+        matcher = per_process(key, lambda: Matcher(listed, around))
         for batch in batches:
-            found = pa.array([matcher.find(v) for v in batch.column(at).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, into])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in values.schema)
-    return values.mapInArrow(run, f"{kinds}, `{into}` bigint")
+            typed = batch.column(0)
+            yield pa.RecordBatch.from_arrays([typed, pa.array([matcher.find(v) for v in typed.to_pylist()], pa.int64())], ["_typed", "_means"])
+
+    spark = values.sparkSession
+    plain_value, means_id = (_free(n, values.columns) for n in ("_typed", "_means"))
+    # As many tasks as a shuffle has: matching costs time, not bytes, so small partitions must not be joined.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    typed = values.select(F.col(f"`{value}`").cast("string").alias("_typed")).where("_typed is not null").distinct().repartition(tasks, "_typed")
+    means = typed.mapInArrow(run, "_typed string, _means bigint").toDF(plain_value, means_id)
+    kept = [F.col(f"`{c}`") for c in values.columns if c != into]
+    joined = values.join(means, F.col(f"`{value}`").cast("string") == F.col(plain_value), "left")
+    return joined.select(*kept, F.coalesce(means_id, F.lit(-1).cast("bigint")).alias(into))
+
+
+def _free(name: str, taken: Sequence[str]) -> str:
+    """``name``, lengthened until it is none of those taken."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
 
 
 def unmatched_report(mapped: DataFrame, value: str, by: str, into: str = "concept_id") -> DataFrame:

@@ -18,6 +18,8 @@ from vaultweave.session import table
 #: Where the public vocabularies lie; a parameter of every query that needs one.
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.json"
+#: Words these vaults put around a concept's name.
+FRAME = frozenset("the a an re cf see old of concept concepts core draft v1 v2 v3 md new".split())
 
 
 def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("vault_aliases.alias").alias("field"), F.col("alias_id").alias("row_id"), F.lit(1).alias("pos"), F.col("alias").alias("value")
     )
     values = packed_values(spark, sf_dir, (("primitives_and_foundational", "depends_on"),))
-    return map_values(typed.unionByName(values.where(~is_wikilink(F.col("value")))), "value", concepts)
+    return map_values(typed.unionByName(values.where(~is_wikilink(F.col("value")))), "value", concepts, frame=FRAME)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
