@@ -12,22 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 T = TypeVar("T")
-#: Things a Python process keeps at once.
-KEPT = 8
 
 
-def per_process(key: Hashable, make: Callable[[], T]) -> T:
-    """What ``make`` gives, made once per Python process and key.
+def per_process(kind: str, key: Hashable, make: Callable[[], T]) -> T:
+    """What ``make`` gives, made once per Python process for a key; of each kind the latest is kept.
 
     Functions travel to the workers by value, so a module's own variables begin
     anew with every task; this box outlives them.
     """
     box = sys.__dict__.setdefault("_vaultweave_kept", {})
-    if key not in box:
-        if len(box) >= KEPT:
-            box.clear()
-        box[key] = make()
-    return box[key]
+    if kind not in box or box[kind][0] != key:
+        box[kind] = (key, make())
+    return box[kind][1]
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "vaultweave") -> SparkSession:
