@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -138,9 +139,9 @@ class MergeReplay:
         return ids, np.diff(ends)
 
 
-def load(path: str) -> MergeReplay:
-    """The vocabulary at ``path`` and the words encoded so far, kept per process."""
-    return per_process(("bpe", path), lambda: MergeReplay(path))
+def load(path: str, run: str) -> MergeReplay:
+    """The vocabulary at ``path`` and the words encoded so far, kept per process for the tasks of one run."""
+    return per_process("bpe", (path, run), lambda: MergeReplay(path))
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = BLOCK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
@@ -164,8 +165,10 @@ def token_ids(docs: DataFrame, key: str, text: str, vocabulary: str) -> DataFram
     tokens are ordinary text.  Repeated rows and null keys are kept as they are.
     """
 
+    run = uuid4().hex
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = load(vocabulary)
+        coder = load(vocabulary, run)
         for block, texts in text_blocks(batches):
             ids, lengths = coder.encode(texts)
             offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
@@ -179,8 +182,10 @@ def token_ids(docs: DataFrame, key: str, text: str, vocabulary: str) -> DataFram
 def token_counts(docs: DataFrame, key: str, text: str, vocabulary: str) -> DataFrame:
     """(key, tokens): the number of token ids of every text, 0 for null and empty."""
 
+    run = uuid4().hex
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = load(vocabulary)
+        coder = load(vocabulary, run)
         for block, texts in text_blocks(batches):
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(coder.encode(texts)[1], pa.int64())], ["key", "tokens"])
 

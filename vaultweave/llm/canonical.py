@@ -16,6 +16,7 @@ from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 from itertools import accumulate
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from vaultweave.session import per_process
 
 #: A canonical list of at most so many entries is sent to every task (some 100 bytes each).
 MAX_ENTRIES = 50_000
-#: Values a task remembers the answer of.
-KNOWN_VALUES = 200_000
+#: Typed words a process remembers the near words of.
+KNOWN_WORDS = 200_000
 #: Least score of a word, how much better a pair that is no entry must be to win, and least score of a whole value.
 LEAST_WORD, MARGIN, LEAST_VALUE = 0.5, 0.12, 0.7
 #: Letters of other scripts that look like Latin ones, and digits typed for letters (fixed values).
@@ -173,7 +174,6 @@ class Matcher:
         #: No typed word longer than this is near any word, none longer than twice this any two.
         self.longest = max(map(len, self.vocabulary), default=0) + 8
         self.close: dict[str, list[tuple[float, str]]] = {}
-        self.known: dict[str, int] = {}
 
     # -- single words -----------------------------------------------------
 
@@ -182,7 +182,7 @@ class Matcher:
         if len(w) > self.longest:
             return []
         if w not in self.close:
-            if len(self.close) > KNOWN_VALUES:
+            if len(self.close) > KNOWN_WORDS:
                 self.close.clear()
             forms = [(1.0, w)]
             for digit, letters in DIGITS.items():
@@ -278,13 +278,6 @@ class Matcher:
         """The id of the entry a value means, -1 if none."""
         if value is None or not self.ids:
             return -1
-        if value not in self.known:
-            if len(self.known) >= KNOWN_VALUES:
-                self.known.clear()
-            self.known[value] = self._find(value)
-        return self.known[value]
-
-    def _find(self, value: str) -> int:
         typed = words(value)
         bare = [w.rstrip(".") for w in typed]
         if not bare:
@@ -413,10 +406,10 @@ def map_values(values: DataFrame, value: str, entries: Sequence[tuple[int, Seque
         values = values.drop(into)
     listed = [(int(i), list(names)) for i, names in entries]
     around = tuple(sorted(frame))
-    key = ("canonical", hash((tuple((i, *names) for i, names in listed), around)))
+    run = uuid4().hex  # nothing is kept from one query to the next
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = per_process(key, lambda: Matcher(listed, around))
+        matcher = per_process("canonical", run, lambda: Matcher(listed, around))
         for batch in batches:
             typed = batch.column(0)
             yield pa.RecordBatch.from_arrays([typed, pa.array([matcher.find(v) for v in typed.to_pylist()], pa.int64())], ["_typed", "_means"])
