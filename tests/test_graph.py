@@ -66,6 +66,47 @@ def test_strong_components(spark):
         assert {r.node: (r.component, r.size) for r in g.strong_components(frame(spark, edges)).collect()} == want
 
 
+def test_long_paths(spark, monkeypatch):
+    """A path and a ring of 3,000: nothing ends early, and not one round per step either."""
+    monkeypatch.setattr(g, "ROUNDS", 5)
+    n = 3000
+    path = [(i, i + 1) for i in range(n)]
+    ring = [(10_000 + i, 10_000 + (i + 1) % n) for i in range(n)]
+    df = frame(spark, path + ring + [(10_000, 0)])
+    got = {r.node: r.hops for r in g.closure(df, spark.createDataFrame([(10_005,)], "node long")).collect()}
+    assert len(got) == 2 * n + 1 and got[10_004] == n - 1 and got[n] == n - 5 + 1 + n
+    near = {r.node for r in g.closure(frame(spark, path), spark.createDataFrame([(0,)], "node long"), max_rounds=100).collect()}
+    assert near == set(range(101))
+    assert {(r.node, r.level) for r in g.topological_levels(frame(spark, path)).collect()} == {(i, n - i) for i in range(n + 1)}
+    assert {(r.node, r.component, r.size) for r in g.strong_components(df).collect()} == {(10_000 + i, 10_000, n) for i in range(n)}
+
+
+def test_large_components(spark, monkeypatch):
+    """Components too large for one task are found by rounds."""
+    monkeypatch.setattr(g, "COMPONENT_EDGES", 3)
+    test_strong_components(spark)
+    test_closure_and_hops(spark)
+    test_levels(spark)
+
+
+def test_label_sweeps(spark):
+    """Levels of waiting nodes move like a sweep node by node."""
+    rng = random.Random(13)
+    for _ in range(2):
+        edges = [(rng.randrange(25), rng.randrange(25)) for _ in range(40)]
+        near = adjacency([e for e in edges if e[0] != e[1]], True)
+        label = {n: n for n in range(26)}
+        for _ in range(3):
+            for n in sorted(label):
+                votes = defaultdict(int)
+                for x in near[n]:
+                    votes[label[x]] += 1
+                if votes:
+                    label[n] = min(votes, key=lambda c: (-votes[c], c))
+        got = {r.node: r.label for r in g.spread_labels(frame(spark, edges), spark.range(26).toDF("node"), rounds=3).collect()}
+        assert got == label
+
+
 def greedy(nodes, edges):
     und = {(min(a, b), max(a, b)) for a, b in edges if a != b}
     m = len(und)

@@ -60,6 +60,24 @@ def structural_dependencies(text: Column) -> Column:
     return F.when(section.isNull() | none, F.array().cast("array<string>")).otherwise(links(section))
 
 
+def dependency_lines(text: Column) -> Column:
+    """A map from each target in the section on structural dependencies to the last line (from 1) it stands on; computed inside the row."""
+    lines = F.split(text, "\n")
+    start = F.struct(F.lit(0).alias("line"), F.lit(False).alias("inside"), F.array().cast("array<struct<link:string,line:int>>").alias("found"))
+
+    def step(acc: Column, t: Column) -> Column:
+        here = acc.line + 1
+        inside = F.when(t.startswith("## "), t.rlike(r"^## Structural dependencies\s*$")).otherwise(acc.inside)
+        links_ = F.transform(_all(t, r"\[\[([^\]|#]+)"), lambda x: F.struct(F.trim(F.lower(x)).alias("link"), here.alias("line")))
+        return F.struct(here.alias("line"), inside.alias("inside"), F.when(inside, F.concat(acc.found, links_)).otherwise(acc.found).alias("found"))
+
+    found = F.aggregate(lines, start, step, lambda acc: acc.found)
+    names = F.array_distinct(F.transform(found, lambda x: x["link"]))
+    last = F.transform(names, lambda n: F.array_max(F.transform(F.filter(found, lambda x: x["link"] == n), lambda x: x["line"])))
+    # Texts without the section are passed over before they are cut into lines.
+    return F.when(text.contains("## Structural dependencies"), F.map_from_arrays(names, last))
+
+
 def front_matter(text: Column) -> Column:
     """The block between the fences that open a text; null if there is none."""
     return F.nullif(F.regexp_extract(text, r"(?s)^---\r?\n(.*?)\r?\n---", 1), F.lit(""))

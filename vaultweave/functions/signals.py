@@ -23,6 +23,12 @@ NEGATIONS = ["not", "does not", "is not", "are not", "do not", "cannot", "withou
 OPERATIONAL = ["detected by", "revealed when", "test for", "operationally", "operational test"]
 COST = [r"requires?", r"expends?", r"pays?", "burden", "cost", "effort"]
 SPATIAL = ["local", "non-local", "boundary", "inside", "beyond", "within"]
+#: The one spatial phrase that counts inside longer words too (``non-locality``).
+SPATIAL_OPEN = ["non-local"]
+# Who should do something, and what is only described as needing it.
+PRESCRIBED = r"(we|one|users?|systems?|agents?|operators?)\s+(should|must|require)"
+DESCRIBED = r"(it|this|the\s+\w+)\s+(requires?|must)"
+BARE_MODAL, BARE_AGENT = r"(should|must)", r"(you|we|one)"
 #: Ranks of layers in dependency order.
 LAYER_RANK = {
     "primitive": 0, "foundational": 0, "first-order": 1, "mechanism": 2,
@@ -51,16 +57,19 @@ def count_phrases(text: Column, phrases: list[str], bounded: bool = True) -> Col
     return total
 
 
+def spatial(text: Column) -> Column:
+    """How many spatial phrases a text has."""
+    return count_phrases(text, [p for p in SPATIAL if p not in SPATIAL_OPEN]) + count_phrases(text, SPATIAL_OPEN, bounded=False)
+
+
 def negations(text: Column) -> Column:
     return count_phrases(text, NEGATIONS)
 
 
 def prescriptive(sentence: Column) -> Column:
     """Whether a sentence tells someone what to do."""
-    agent = rf"(?i){_B}(we|one|users?|systems?|agents?|operators?)\s+(should|must|require)"
-    thing = rf"(?i){_B}(it|this|the\s+\w+)\s+(requires?|must)"
-    bare = sentence.rlike(rf"(?i){_B}(should|must){_E}") & sentence.rlike(rf"(?i){_B}(you|we|one){_E}")
-    return sentence.rlike(agent) | (~sentence.rlike(thing) & bare)
+    bare = sentence.rlike(rf"(?i){_B}{BARE_MODAL}{_E}") & sentence.rlike(rf"(?i){_B}{BARE_AGENT}{_E}")
+    return sentence.rlike(rf"(?i){_B}{PRESCRIBED}") | (~sentence.rlike(rf"(?i){_B}{DESCRIBED}") & bare)
 
 
 def prescriptive_sentences(text: Column) -> Column:

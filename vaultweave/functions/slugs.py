@@ -37,9 +37,14 @@ def folder(path: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """A sort key that orders runs of digits by number."""
+    """A sort key that orders runs of digits by number, however long: the number of its digits stands in front of it."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 12, "0")).otherwise(p)), "")
+
+    def key(p: Column) -> Column:
+        digits = F.regexp_replace(p, "^0+(?=.)", "")
+        return F.when(p.rlike(r"^\d"), F.concat(F.lit("0"), F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(p)
+
+    return F.array_join(F.transform(parts, key), "")
 
 
 def relative(source: Column, target: Column) -> Column:

@@ -2,11 +2,14 @@
 
 Loops write each round's table into the shared checkpoint folder, so a plan
 never grows with the number of rounds and a lost executor re-reads a round.
+Where a loop has gone on for ``ROUNDS`` and what is left of the graph proves to
+be at most ``COMPONENT_EDGES`` edges, one task does the rest: graphs that need
+many rounds are long and thin.  Larger rests stay distributed, however long.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict, deque
 from functools import reduce
 from heapq import heapify, heappop, heappush
 from itertools import count
@@ -15,10 +18,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vaultweave.session import written
+from vaultweave.operators.ordering import numbered
+from vaultweave.session import fits, written
 
-#: Edges of a component a single task may hold for the sequential community methods.
+#: Edges a single task may hold: of a component for sequential methods, of what a loop leaves over.
 COMPONENT_EDGES = 2_000_000
+#: Rounds of a loop before a small rest is done by one task.
+ROUNDS = 24
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -53,8 +59,18 @@ def closure(edges: DataFrame, starts: DataFrame, max_rounds: int | None = None)
     frontier, parts = reached, [reached]
     steps = edges.select("src", "dst").where("src is not null and dst is not null")
     for hop in count(1) if max_rounds is None else range(1, max_rounds + 1):
-        nxt = steps.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
         seen = reduce(DataFrame.unionByName, parts).select("node")
+        if hop % ROUNDS == 0:
+            parts = [written(reduce(DataFrame.unionByName, parts), "closure")]
+            seen = parts[0].select("node")
+            # Only edges from the last level and from nodes not reached yet matter any more.
+            inner = seen.join(frontier.select("node"), "node", "left_anti").select(F.col("node").alias("src"))
+            rest = written(steps.join(inner, "src", "left_anti"), "closure")
+            if fits(rest, COMPONENT_EDGES) and fits(parts[0], COMPONENT_EDGES):
+                parts.append(_rest_of_search(rest, parts[0], hop - 1, max_rounds))
+                break
+            steps = rest
+        nxt = steps.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
         frontier = written(nxt.join(seen, "node", "left_anti").withColumn("hops", F.lit(hop)), "closure")
         if frontier.isEmpty():
             break
@@ -62,6 +78,35 @@ def closure(edges: DataFrame, starts: DataFrame, max_rounds: int | None = None)
     return reduce(DataFrame.unionByName, parts)
 
 
+def _rest_of_search(edges: DataFrame, reached: DataFrame, level: int, most: int | None) -> DataFrame:
+    """What a breadth-first search from the nodes at ``level`` finds beyond those reached, in one task."""
+    kind = reached.schema["node"].dataType
+    nodes = reached.select(F.lit(None).cast(kind).alias("src"), F.col("node").alias("dst"), "hops")
+    rows = edges.select(F.col("src").cast(kind).alias("src"), F.col("dst").cast(kind).alias("dst"), F.lit(None).cast("int").alias("hops")).unionByName(nodes)
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        known = pdf[pdf.hops.notna()]
+        links = pdf[pdf.hops.isna()]
+        ahead = defaultdict(list)
+        for a, b in zip(links.src.tolist(), links.dst.tolist()):
+            ahead[a].append(b)
+        seen = set(known.dst.tolist())
+        line = deque((n, level) for n in known.loc[known.hops == level, "dst"].tolist())
+        found = []
+        while line:
+            n, hops = line.popleft()
+            if most is not None and hops >= most:
+                continue
+            for x in ahead.get(n, ()):
+                if x not in seen:
+                    seen.add(x)
+                    line.append((x, hops + 1))
+                    found.append((x, hops + 1))
+        return pd.DataFrame({"node": pd.Series([n for n, _ in found], dtype=pdf.dst.dtype), "hops": pd.Series([h for _, h in found], dtype="int32")})
+
+    return rows.groupBy().applyInPandas(search, f"node {kind.simpleString()}, hops int")
+
+
 def k_hop(edges: DataFrame, starts: DataFrame, k: int) -> DataFrame:
     """(node, hops) within ``k`` steps over undirected edges; all of the component for -1."""
     return closure(both_ways(edges), starts, max_rounds=k if k >= 0 else None)
@@ -76,20 +121,49 @@ def topological_levels(edges: DataFrame, nodes: DataFrame | None = None) -> Data
     es = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
     every = es.select(F.col("src").alias("node")).unionByName(es.select(F.col("dst").alias("node")))
     every = (every.unionByName(nodes.select("node")) if nodes is not None else every).distinct()
-    open_edges = written(es, "levels")
-    rest = written(every, "levels")
-    parts, level = [], 0
-    while True:
-        ready = written(rest.join(open_edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("level", F.lit(level)), "levels")
+    # Open dependencies by node: one table holds what is left, a node without any stands with a null.
+    left = written(every.join(es.select(F.col("src").alias("node"), "dst"), "node", "left"), "levels")
+    parts = []
+    for level in count():
+        # A node is ready if all that is left of it is its null.
+        ready = written(left.groupBy("node").agg(F.count("dst").alias("open")).where("open = 0").select("node", F.lit(level).alias("level")), "levels")
         if ready.isEmpty():
             break
         parts.append(ready)
-        rest = written(rest.join(ready.select("node"), "node", "left_anti"), "levels")
-        open_edges = written(open_edges.join(ready.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "levels")
-        level += 1
+        gone = ready.select("node")
+        rest = left.join(gone, "node", "left_anti").join(gone.select(F.col("node").alias("dst"), F.lit(True).alias("_met")), "dst", "left")
+        left = written(rest.select("node", F.when(F.col("_met").isNull(), F.col("dst")).alias("dst")).distinct(), "levels")
+        if level == ROUNDS and fits(left, COMPONENT_EDGES):
+            parts.append(_rest_of_levels(left, level + 1))
+            break
     return reduce(DataFrame.unionByName, parts) if parts else every.limit(0).withColumn("level", F.lit(0))
 
 
+def _rest_of_levels(left: DataFrame, first: int) -> DataFrame:
+    """(node, level) of what can be peeled off (node, dst) from level ``first`` on, in one task."""
+    kind = left.schema["node"].dataType.simpleString()
+
+    def peel(pdf: pd.DataFrame) -> pd.DataFrame:
+        waits: dict = dict.fromkeys(pdf.node.tolist(), 0)
+        users = defaultdict(list)
+        some = pdf[pdf.dst.notna()]
+        for n, d in zip(some.node.tolist(), some.dst.astype(pdf.node.dtype).tolist()):
+            waits[n] += 1
+            users[d].append(n)
+        line = deque((n, first) for n, w in waits.items() if not w)
+        found = []
+        while line:
+            n, level = line.popleft()
+            found.append((n, level))
+            for u in users.get(n, ()):
+                waits[u] -= 1
+                if not waits[u]:
+                    line.append((u, level + 1))
+        return pd.DataFrame({"node": pd.Series([n for n, _ in found], dtype=pdf.node.dtype), "level": pd.Series([x for _, x in found], dtype="int32")})
+
+    return left.groupBy().applyInPandas(peel, f"node {kind}, level int")
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component): the smallest node of its weakly connected component.
 
@@ -117,20 +191,87 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component, size): strongly connected components of two nodes or more; self-loops are none.
 
-    Nodes without way in or out are trimmed; then every node takes the largest
-    key that reaches it, and what reaches that key back among nodes of the same
-    colour is its component.  Repeats on the rest.
+    Nodes without way in or out are trimmed a few times.  Weak components of at
+    most ``COMPONENT_EDGES`` edges are then searched by one task each; in larger
+    ones every node takes the largest key that reaches it, and what reaches that
+    key back among nodes of the same colour is its component, and so on.
     """
     left = written(edges.where("src is not null and dst is not null and src <> dst").select("src", "dst").distinct(), "scc")
+    n = left.count()
+    for _ in range(3):
+        left, was = _trimmed(left), n
+        n = left.count()
+        if n == was:
+            break
+    kind = left.schema["src"].dataType.simpleString()
+    if not n:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("component"), F.lit(0).cast("long").alias("size")).limit(0)
+    weak = components(left)
+    placed = written(left.join(weak.select(F.col("node").alias("src"), F.col("component").alias("part")), "src"), "scc")
+    sizes = written(placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "scc")
+    small = placed.join(sizes.where(F.col("n") <= COMPONENT_EDGES).select("part"), "part", "left_semi")
+    out = small.groupBy("part").applyInPandas(_search_components, f"node {kind}, component {kind}, size long")
+    large = sizes.where(F.col("n") > COMPONENT_EDGES)
+    if large.isEmpty():
+        return out
+    return out.unionByName(_by_colours(written(placed.join(large.select("part"), "part", "left_semi").select("src", "dst"), "scc")))
+
+
+def _trimmed(left: DataFrame) -> DataFrame:
+    """Edges between nodes that have a way in and a way out."""
+    core = left.select(F.col("dst").alias("node")).distinct().join(left.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
+    return written(left.join(core.select(F.col("node").alias("src")), "src", "left_semi").join(core.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"), "scc")
+
+
+def _search_components(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Depth-first search with low links over one weak component; its own stack, so that depth does not matter."""
+    names = sorted(set(pdf.src.tolist()) | set(pdf.dst.tolist()))
+    place = {n: i for i, n in enumerate(names)}
+    ahead: list[list[int]] = [[] for _ in names]
+    for a, b in zip(pdf.src.tolist(), pdf.dst.tolist()):
+        ahead[place[a]].append(place[b])
+    order, low, done, open_, rows = [0] * len(names), [0] * len(names), [False] * len(names), [], []
+    clock = 0
+    for root in range(len(names)):
+        if order[root]:
+            continue
+        clock += 1
+        order[root] = low[root] = clock
+        open_.append(root)
+        walk = [(root, iter(ahead[root]))]
+        while walk:
+            v, ways = walk[-1]
+            for w in ways:
+                if not order[w]:
+                    clock += 1
+                    order[w] = low[w] = clock
+                    open_.append(w)
+                    walk.append((w, iter(ahead[w])))
+                    break
+                if not done[w]:
+                    low[v] = min(low[v], order[w])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[v])
+                if low[v] == order[v]:
+                    group = []
+                    while not group or group[-1] != v:
+                        group.append(open_.pop())
+                        done[group[-1]] = True
+                    if len(group) > 1:
+                        rows += [(names[g], names[min(group)], len(group)) for g in group]
+    return pd.DataFrame({"node": pd.Series([r[0] for r in rows], dtype=pdf.src.dtype), "component": pd.Series([r[1] for r in rows], dtype=pdf.src.dtype), "size": pd.Series([r[2] for r in rows], dtype="int64")})
+
+
+def _by_colours(left: DataFrame) -> DataFrame:
     found = []
     while True:
+        m = left.count()
         while True:
-            ins, outs = left.select(F.col("dst").alias("node")).distinct(), left.select(F.col("src").alias("node")).distinct()
-            core = ins.join(outs, "node", "left_semi")
-            kept = written(left.join(core.select(F.col("node").alias("src")), "src", "left_semi").join(core.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"), "scc")
-            n, m = left.count(), kept.count()
-            left = kept
-            if n == m:
+            left, was = _trimmed(left), m
+            m = left.count()
+            if m == was:
                 break
         if m == 0:
             break
@@ -145,50 +286,80 @@ def strong_components(edges: DataFrame) -> DataFrame:
         same = left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("cs")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("cd")), "dst").where("cs = cd")
         back = written(same.select(F.struct("cs", "dst").alias("src"), F.struct("cs", "src").alias("dst")), "scc")
         roots = colour.where("node = colour").select(F.struct(F.col("colour").alias("cs"), F.col("node").alias("dst")).alias("node"))
-        members = closure(back.select("src", F.col("dst").cast(back.schema["src"].dataType).alias("dst")), roots).select(F.col("node.dst").alias("node"), F.col("node.cs").alias("key"))
+        members = _reached(back.select("src", F.col("dst").cast(back.schema["src"].dataType).alias("dst")), roots).select(F.col("node.dst").alias("node"), F.col("node.cs").alias("key"))
         members = written(members, "scc")
         found.append(members)
         left = written(left.join(members.select(F.col("node").alias("src")), "src", "left_anti").join(members.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"), "scc")
-    if not found:
-        return edges.select(F.col("src").alias("node"), F.col("src").alias("component"), F.lit(0).cast("long").alias("size")).limit(0)
     all_ = reduce(DataFrame.unionByName, found)
     per = all_.groupBy("key").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("size")).where("size > 1")
     return all_.join(per, "key").select("node", "component", "size")
 
 
+def _reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node) of everything reachable, by rounds alone."""
+    known = written(starts.select("node").distinct(), "closure")
+    frontier, parts = known, [known]
+    while True:
+        nxt = edges.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        frontier = written(nxt.join(reduce(DataFrame.unionByName, parts), "node", "left_anti"), "closure")
+        if frontier.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        parts.append(frontier)
+        if len(parts) == ROUNDS:
+            parts = [written(reduce(DataFrame.unionByName, parts), "closure")]
+
+
 # -- communities ---------------------------------------------------------------
 
 
-def _spread_labels(nodes: list, near: dict, rounds: int) -> dict:
-    """Label propagation, node by node in order; ties go to the smallest label."""
-    label = {n: n for n in nodes}
+def spread_labels(edges: DataFrame, nodes: DataFrame, rounds: int = 20) -> DataFrame:
+    """(node, label): label propagation, every node in the order of the keys taking the commonest label around it, ties to the smallest.
+
+    A sweep in order means that a node sees the new labels of the smaller nodes
+    around it and the old ones of the larger.  Nodes that only wait for nodes
+    already seen to therefore move together: the levels of the graph whose edges
+    lead from larger to smaller keys, one round each.  Ends with a sweep that
+    moves nothing, or after ``rounds`` sweeps.
+    """
+    near = written(both_ways(edges), "labels")
+    und = undirected(edges)
+    levels = written(topological_levels(und.select(F.col("b").alias("src"), F.col("a").alias("dst")), nodes), "labels")
+    around = written(near.join(levels.select(F.col("node").alias("src"), "level"), "src"), "labels")
+    last = levels.agg(F.max("level")).first()[0]
+    labels = levels.select("node", F.col("node").alias("label"))
     for _ in range(max(1, rounds)):
         moved = False
-        for n in nodes:
-            if near[n]:
-                votes = Counter(label[x] for x in near[n])
-                top = max(votes.values())
-                pick = min(x for x, c in votes.items() if c == top)
-                moved |= pick != label[n]
-                label[n] = pick
+        for level in range((last if last is not None else -1) + 1):
+            votes = around.where(F.col("level") == level).join(labels.select(F.col("node").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.count(F.lit(1)).alias("n"))
+            pick = votes.groupBy(F.col("src").alias("node")).agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("best")).select("node", F.col("best.label").alias("pick"))
+            step = written(labels.join(pick, "node", "left").select("node", F.coalesce("pick", "label").alias("label"), (F.coalesce("pick", "label") != F.col("label")).alias("moved")), "labels")
+            labels = step.select("node", "label")
+            moved = moved or not step.where("moved").isEmpty()
         if not moved:
             break
-    return label
+    return labels
 
 
 def _merge_greedily(nodes: list, near: dict, m: int) -> dict:
     """Greedy modularity: the merge of two linked communities that gains most, while any gains; ties to the first pair.
 
     Gains are whole numbers, 2 m² times those of modularity.  The heap keeps the
-    pairs that gain; a pair that has changed since it was put there is passed over.
+    pairs that gain; a pair that has changed since it was put there is passed
+    over, and when most pairs have, the heap is made anew.
     """
     place = {n: i for i, n in enumerate(nodes)}
     total = {i: len(near[n]) for n, i in place.items()}
     inside = {i: [n] for n, i in place.items()}
     between: dict[int, dict[int, int]] = {i: {place[x]: 1 for x in near[n]} for n, i in place.items()}
-    heap = [(-g, a, b) for a in between for b, e in between[a].items() if a < b and (g := 2 * m * e - total[a] * total[b]) > 0]
+    gains = lambda: [(-g, a, b) for a in between for b, e in between[a].items() if a < b and (g := 2 * m * e - total[a] * total[b]) > 0]
+    heap = gains()
     heapify(heap)
+    most = 2 * len(heap) + 1000
     while heap:
+        if len(heap) > most:
+            heap = gains()
+            heapify(heap)
+            most = 2 * len(heap) + 1000
         gain, a, b = heappop(heap)
         if a not in between or b not in between[a] or -gain != 2 * m * between[a][b] - total[a] * total[b]:
             continue
@@ -208,16 +379,21 @@ def _merge_greedily(nodes: list, near: dict, m: int) -> dict:
 def communities(edges: DataFrame, nodes: DataFrame | None = None, method: str = "greedy", rounds: int = 20) -> DataFrame:
     """(node, community): ``c1``, ``c2``, ... by size, then first member.
 
-    ``method`` is ``greedy`` (modularity) or ``labels`` (propagation).  Both
-    decide within a connected component by the number of all edges alone, so
-    components are worked through in parallel.  A component above
-    ``COMPONENT_EDGES`` is refused: the methods are sequential.  A graph without
-    edges is one community by ``greedy``, single ones by ``labels``.
+    ``method`` is ``greedy`` (modularity) or ``labels`` (propagation, see
+    :func:`spread_labels`).  Greedy merges are sequential, but decide within a
+    connected component by the number of all edges alone, so components are
+    worked through in parallel and one above ``COMPONENT_EDGES`` is refused.  A
+    graph without edges is one community by ``greedy``, single ones by ``labels``.
     """
     und = written(undirected(edges), "communities")
+    every = [und.select(F.explode(F.array("a", "b")).alias("node")), edges.where("src is not null").select(F.col("src").alias("node"))]
+    every += [nodes.select("node")] if nodes is not None else []
+    named = reduce(DataFrame.unionByName, every).distinct()
+    if method == "labels":
+        return _named(written(spread_labels(und.select(F.col("a").alias("src"), F.col("b").alias("dst")), named, rounds), "communities"))
     m = und.count()
     parts = components(edges, nodes)
-    if m == 0 and method == "greedy":
+    if m == 0:
         return parts.select("node", F.lit("c1").alias("community"))
     sized = und.join(parts.select(F.col("node").alias("a"), "component"), "a")
     biggest = sized.groupBy("component").count().agg(F.max("count")).first()[0]
@@ -232,14 +408,18 @@ def communities(edges: DataFrame, nodes: DataFrame | None = None, method: str =
             near[a].add(b)
             near[b].add(a)
         order = sorted(near)
-        label = _merge_greedily(order, near, m) if method == "greedy" else _spread_labels(order, near, rounds)
-        return pd.DataFrame({"node": order, "label": [label[n] for n in order], "component": [pdf.component.iloc[0]] * len(order)})
+        label = _merge_greedily(order, near, m)
+        return pd.DataFrame({"node": order, "label": [label[n] for n in order]})
 
     kind = parts.schema["node"].dataType.simpleString()
-    found = written(rows.groupBy("component").applyInPandas(one, f"node {kind}, label {kind}, component {kind}"), "communities")
-    groups = found.groupBy("component", "label").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first"))
-    numbered = groups.withColumn("community", F.concat(F.lit("c"), F.row_number().over(Window.orderBy(F.desc("size"), "first"))))
-    return found.join(numbered.select("component", "label", "community"), ["component", "label"]).select("node", "community")
+    return _named(written(rows.groupBy("component").applyInPandas(one, f"node {kind}, label {kind}"), "communities"))
+
+
+def _named(found: DataFrame) -> DataFrame:
+    """(node, community) of (node, label): labels numbered by size, then first member."""
+    groups = found.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first"))
+    names = numbered(groups, F.desc("size"), "first").select("label", F.concat(F.lit("c"), F.col("number")).alias("community"))
+    return found.join(names, "label").select("node", "community")
 
 
 # -- how a partition fits ---------------------------------------------------------
@@ -299,11 +479,19 @@ def bridges(partition: DataFrame, edges: DataFrame) -> DataFrame:
     return partition.join(counted, "node", "left").na.fill(0, ["neighbour_communities", "boundary_edges"])
 
 
-def hubs(nodes: DataFrame, depends: DataFrame, others: DataFrame | None = None, exclude: tuple[str, ...] = ("mechanism", "failure-state")) -> DataFrame:
-    """One row per node (node, layer) outside ``exclude``, with its dependents by layer, distinct layers, other dependents and score.
+#: Weights of a hub's score by what depends on it.
+HUB_WEIGHTS = {"mechanisms": 1.0, "accounting": 1.0, "failures": 1.0, "selectors": 1.0, "layers": 1.0}
+
+
+def hubs(
+    nodes: DataFrame, depends: DataFrame, others: DataFrame | None = None, exclude: tuple[str, ...] = ("mechanism", "failure-state"), weights: dict[str, float] | None = None, least: dict[str, int] | None = None
+) -> DataFrame:
+    """One row per node (node, layer) outside ``exclude``: its dependents by layer, distinct layers, other dependents, class and score.
 
     ``depends`` (src depends on dst) links nodes; ``others`` (src, dst) adds
     dependents that are no nodes.  Counts are of distinct dependents.
+    ``weights`` change how much each count adds to the score; ``least`` leaves
+    only nodes that reach all of its counts.
     """
     layered = nodes.select("node", F.lower(F.trim(F.coalesce("layer", F.lit("unknown")))).alias("layer"))
     links = depends.select("src", "dst").distinct().join(layered.select(F.col("node").alias("src"), F.col("layer").alias("of")), "src")
@@ -314,13 +502,29 @@ def hubs(nodes: DataFrame, depends: DataFrame, others: DataFrame | None = None,
     )
     out = layered.where(~F.col("layer").isin(*exclude)).join(counted, "node", "left")
     if others is not None:
-        more = others.select("src", "dst").distinct().groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("others"))
-        out = out.join(more, "node", "left")
+        foreign = others.select(F.col("src").cast("string").alias("src"), "dst").distinct().join(layered.select(F.col("node").cast("string").alias("src")), "src", "left_anti")
+        out = out.join(foreign.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("others")), "node", "left")
     else:
         out = out.withColumn("others", F.lit(0).cast("long"))
-    counts = ["mechanisms", "accounting", "failures", "selectors", "layers", "dependents", "others"]
-    out = out.na.fill(0, counts)
-    return out.withColumn("score", (F.col("mechanisms") + F.col("accounting") + F.col("failures") + F.col("selectors") + F.col("layers")).cast("double"))
+    out = out.na.fill(0, [*HUB_WEIGHTS, "dependents", "others"])
+    for name, at_least in (least or {}).items():
+        out = out.where(F.col(name) >= at_least)
+    weight = HUB_WEIGHTS | (weights or {})
+    score = sum((F.col(c) * float(w) for c, w in weight.items()), F.lit(0.0))
+    return out.withColumn("hub_class", hub_class()).withColumn("score", score)
+
+
+def hub_class() -> Column:
+    """What kind of hub a row of :func:`hubs` is."""
+    name = F.lower(F.trim(F.col("node").cast("string")))
+    rest = F.col("accounting") + F.col("failures") + F.col("selectors")
+    return (
+        F.when(F.col("layer").isin("primitive", "foundational"), "Primitive hub")
+        .when(name.contains("load") | name.endswith("-set"), "Aggregation hub")
+        .when((F.col("mechanisms") >= 2) & (rest >= 2), "Mechanism-output hub")
+        .when((F.col("mechanisms") > 0) & (F.col("accounting") > 0) & (F.col("failures") > 0), "Cross-layer hub")
+        .otherwise("Hub-adjacent")
+    )
 
 
 def rank_hubs(found: DataFrame, by: str = "spread", top: int = 50) -> DataFrame:
@@ -339,3 +543,59 @@ def implied(declared: DataFrame, depends: DataFrame) -> DataFrame:
     """(owner, implied, via): what the things an owner declares (owner, node) depend on without the owner declaring it."""
     two = declared.select("owner", F.col("node").alias("via")).distinct().join(depends.select(F.col("src").alias("via"), F.col("dst").alias("implied")).distinct(), "via")
     return two.join(declared.select("owner", F.col("node").alias("implied")).distinct(), ["owner", "implied"], "left_anti").select("owner", "implied", "via")
+
+
+def clusters(implied_rows: DataFrame) -> DataFrame:
+    """(implied, owners, ways): what several owners imply without declaring it: by how many and in how many ways."""
+    return implied_rows.groupBy("implied").agg(F.count_distinct("owner").alias("owners"), F.count(F.lit(1)).alias("ways"))
+
+
+def simple_cycles(edges: DataFrame, most: int = 10) -> DataFrame:
+    """(cycle): simple cycles of at most ``most`` nodes, each once as the list of its nodes from the smallest on; self-loops are cycles of one.
+
+    Paths grow from their smallest node through larger ones inside strongly
+    connected components only, so each cycle is found from one start.
+    """
+    plain = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
+    inside = strong_components(plain).select("node", "component")
+    side = lambda c: inside.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    ring = written(plain.where("src <> dst").join(side("src"), "src").join(side("dst"), "dst").where("c_src = c_dst").select("src", "dst"), "cycles")
+    found = [plain.where("src = dst").select(F.array("src").alias("cycle"))]
+    paths = ring.where("src < dst").select(F.array("src", "dst").alias("path"), F.col("dst").alias("end"))
+    for _ in range(most - 1):
+        step = written(paths.join(ring.select(F.col("src").alias("end"), F.col("dst").alias("nxt")), "end").where(F.col("nxt") >= F.element_at("path", 1)), "cycles")
+        found.append(step.where(F.col("nxt") == F.element_at("path", 1)).select(F.col("path").alias("cycle")))
+        paths = step.where(~F.array_contains("path", F.col("nxt"))).select(F.concat("path", F.array("nxt")).alias("path"), F.col("nxt").alias("end"))
+        if paths.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)
+
+
+def trace(edges: DataFrame, start: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, hops, level, direct, missing): what a node depends on at any distance, in dependency order; ``missing`` names no node of ``nodes``."""
+    inside = closure(edges, start)
+    kept = edges.join(inside.select(F.col("node").alias("src")), "src", "left_semi")
+    levels = topological_levels(kept, inside)
+    known = nodes.select("node").distinct().withColumn("_is", F.lit(True))
+    out = inside.join(levels, "node", "left").join(known, "node", "left")
+    return out.select("node", "hops", "level", (F.col("hops") == 1).alias("direct"), F.col("_is").isNull().alias("missing"))
+
+
+def topology(partitions: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(graph, node, community, neighbour_communities, boundary_edges): :func:`bridges` of several graphs, each a (partition, edges)."""
+    return reduce(DataFrame.unionByName, [bridges(p, e).select(F.lit(name).alias("graph"), "node", "community", "neighbour_communities", "boundary_edges") for name, (p, e) in partitions.items()])
+
+
+def community_summary(found: DataFrame) -> DataFrame:
+    """(community, nodes, bridges, boundary_edges, mean_neighbours) of :func:`bridges`."""
+    return found.groupBy("community").agg(
+        F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("neighbour_communities") > 0).alias("bridges"), F.sum("boundary_edges").alias("boundary_edges"), F.avg(F.coalesce("neighbour_communities", F.lit(0))).alias("mean_neighbours")
+    )
+
+
+def layout(nodes: DataFrame, order: str = "node") -> DataFrame:
+    """(node, layer, x, y, radius): where a drawing puts each node (node, layer, links): layers from left to right, names from top to bottom, larger with more links."""
+    from vaultweave.functions.signals import layer_rank
+
+    y = F.row_number().over(Window.partitionBy("layer").orderBy(order)) - 1
+    return nodes.select("node", "layer", layer_rank(F.col("layer")).alias("x"), y.alias("y"), (2 + F.sqrt(F.coalesce("links", F.lit(0)))).alias("radius"))

@@ -42,6 +42,33 @@ def after_artifact(events: DataFrame, artifact: str | int) -> DataFrame:
     return events.join(F.broadcast(first)).where(F.col("seq") > F.col("_at")).drop("_at")
 
 
+def after_seq(events: DataFrame, seq: int) -> DataFrame:
+    """Events after a place in the ledger."""
+    return events.where(F.col("seq") > seq)
+
+
+def having(events: DataFrame, column: str, value: str) -> DataFrame:
+    """Events whose array ``column`` holds ``value``."""
+    return events.where(F.array_contains(column, value))
+
+
+def affecting(changes: DataFrame, invariant: str) -> DataFrame:
+    """Changes with an impact on an invariant; ``invariant_impacts`` is an array of (invariant, direction, detail)."""
+    return changes.where(F.exists("invariant_impacts", lambda i: i["invariant"] == invariant))
+
+
+def shown(changes: DataFrame, note: str | None = None, kind: str | None = None, last: int = 20) -> DataFrame:
+    """The last ``last`` changes in ledger order, of notes whose id contains ``note`` and of one type, if given."""
+    out = changes if note is None else changes.where(F.lower("note_id").contains(note.lower()))
+    out = out if kind is None else out.where(F.array_contains("change_types", kind))
+    return limited(out, last, latest=True)
+
+
+def latest_first(found: DataFrame) -> DataFrame:
+    """Snapshots in the order of a listing: by creation, then id."""
+    return found.orderBy("created_at", "artifact_id")
+
+
 def limited(events: DataFrame, limit: int, descending: bool = False, latest: bool = False) -> DataFrame:
     """The first ``limit`` events in ledger order, turned round afterwards if ``descending``; ``latest`` takes the last ones instead."""
     cut = events.orderBy(F.desc("seq") if latest else "seq").limit(limit)
@@ -133,13 +160,30 @@ def invariant_summaries(checks: DataFrame) -> DataFrame:
     )
 
 
+def affected_items(checks: DataFrame) -> DataFrame:
+    """(artifact_id, invariant_id, status, items): of each invariant the last check's status and affected items; ``checks`` have seq and affected_items."""
+    return checks.groupBy("artifact_id", "invariant_id").agg(F.max_by("status", "seq").alias("status"), F.max_by("affected_items", "seq").alias("items"))
+
+
+def validation_summary(events: DataFrame) -> DataFrame:
+    """(rules_checked, passed, failed, warnings, invariants, violated, violations) of constraint events (kind, rule_id, invariant, result)."""
+    is_rule, is_check = F.col("kind") == "constraint.evaluated", F.col("kind") == "invariant.checked"
+    of = lambda r: F.count_if(is_rule & (F.col("result") == r))
+    return events.agg(
+        F.count_distinct(F.when(is_rule, F.col("rule_id"))).alias("rules_checked"), of("pass").alias("passed"), of("fail").alias("failed"), of("warning").alias("warnings"),
+        F.count_distinct(F.when(is_check, F.col("invariant"))).alias("invariants"), F.count_distinct(F.when(is_check & (F.col("result") == "fail"), F.col("invariant"))).alias("violated"),
+        F.coalesce(F.sum(F.when(is_check, F.col("violations"))), F.lit(0)).alias("violations"),
+    )
+
+
 def latest_execution(logs: DataFrame) -> DataFrame:
     """(artifact_id, execution_id) of the last log of each artifact."""
     return logs.groupBy("artifact_id").agg(F.max_by("execution_id", "seq").alias("execution_id"))
 
 
 def audit_trail(events: DataFrame, artifact: str | int) -> DataFrame:
-    """All events of an artifact with their place in its history and the time since the one before."""
+    """All events of an artifact with their place in its history, and the type of the one before and the seconds since."""
     order = Window.partitionBy("artifact_id").orderBy("seq")
     own = events.where(F.col("artifact_id") == artifact)
-    return own.withColumn("step", F.row_number().over(order)).withColumn("previous", F.lag("event_type").over(order))
+    since = F.col("ts").cast("timestamp").cast("double") - F.lag(F.col("ts").cast("timestamp").cast("double")).over(order)
+    return own.withColumn("step", F.row_number().over(order)).withColumn("previous", F.lag("event_type").over(order)).withColumn("seconds", F.round(since, 6))

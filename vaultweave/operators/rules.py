@@ -186,7 +186,7 @@ def alias_drift(v: Vault, r: Rule) -> DataFrame:
 
 
 def _edges(v: Vault) -> DataFrame:
-    to = v.names.select(F.col("name").alias("dep"), F.col("layer").alias("dep_layer")).dropDuplicates(["dep"])
+    to = v.names.select(F.col("name").alias("dep"), F.col("layer").alias("dep_layer")).groupBy("dep").agg(F.min("dep_layer").alias("dep_layer"))
     return v.deps.join(to, "dep")
 
 

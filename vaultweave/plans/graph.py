@@ -43,6 +43,11 @@ def links(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def mentioned(spark: SparkSession, sf: str) -> DataFrame:
+    """Links whose sources are named as suppliers, which are no parts."""
+    return links(spark, sf).select(F.concat(F.lit("supplier-"), F.col("src")).alias("src"), "dst")
+
+
 def directed(spark: SparkSession, sf: str) -> DataFrame:
     """Parts on consecutive lines of an order."""
     items = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
@@ -130,7 +135,7 @@ def _declared(spark, sf):
     return items.select(F.col("s_nationkey").alias("owner"), F.col("l_partkey").alias("node")).distinct()
 
 
-_DECLARED = "decl AS (SELECT DISTINCT s_nationkey AS owner, l_partkey AS node FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 1)"
+_DECLARED = "decl AS (SELECT DISTINCT s_nationkey AS owner, l_partkey AS node FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"
 _IMPLIED = f"""{_DECLARED}, imp AS (SELECT d.owner, e.dst AS implied, d.node AS via FROM decl d JOIN deps e ON e.src = d.node
   WHERE NOT EXISTS (SELECT 1 FROM decl x WHERE x.owner = d.owner AND x.node = e.dst))"""
 
@@ -179,20 +184,21 @@ _HUB = """c AS (SELECT d.dst AS node, count(*) FILTER (WHERE a.layer = 'mechanis
   o AS (SELECT dst AS node, count(*) AS others FROM links GROUP BY 1),
   h AS (SELECT p.node, p.layer, coalesce(mechanisms, 0) AS mechanisms, coalesce(accounting, 0) AS accounting, coalesce(failures, 0) AS failures, coalesce(selectors, 0) AS selectors, coalesce(layers, 0) AS layers,
     coalesce(dependents, 0) AS dependents, coalesce(others, 0) AS others FROM parts p LEFT JOIN c USING (node) LEFT JOIN o USING (node) WHERE p.layer NOT IN ('mechanism', 'failure-state')),
-  s AS (SELECT *, CAST(mechanisms + accounting + failures + selectors + layers AS DOUBLE) AS score FROM h)
+  s AS (SELECT *, CASE WHEN layer = 'primitive' THEN 'Primitive hub' WHEN mechanisms >= 2 AND accounting + failures + selectors >= 2 THEN 'Mechanism-output hub' WHEN mechanisms > 0 AND accounting > 0 AND failures > 0 THEN 'Cross-layer hub' ELSE 'Hub-adjacent' END AS hub_class,
+    CAST(mechanisms + accounting + failures + selectors + layers AS DOUBLE) AS score FROM h)
 SELECT *, CAST(row_number() OVER (ORDER BY {o}) AS INTEGER) AS rank FROM s ORDER BY {o} LIMIT 50"""
 
 
 @query(_HUB.replace("{o}", "(mechanisms > 0) DESC, (accounting > 0) DESC, (failures > 0) DESC, layers DESC, mechanisms DESC, accounting DESC, failures DESC, dependents + others DESC, node DESC"))
 def hub_candidates(spark, sf):
     """Hub candidates, those used across layers first."""
-    return g.rank_hubs(g.hubs(parts(spark, sf), depends(spark, sf), links(spark, sf)))
+    return g.rank_hubs(g.hubs(parts(spark, sf), depends(spark, sf), mentioned(spark, sf)))
 
 
 @query(_HUB.replace("{o}", "score DESC, layers DESC, dependents + others DESC, mechanisms DESC, accounting DESC, failures DESC, selectors DESC, node DESC"))
 def hub_scores(spark, sf):
     """Hub candidates by weighted score."""
-    return g.rank_hubs(g.hubs(parts(spark, sf), depends(spark, sf), links(spark, sf)), by="score")
+    return g.rank_hubs(g.hubs(parts(spark, sf), depends(spark, sf), mentioned(spark, sf)), by="score")
 
 
 @query("SELECT count(*) AS edges, round(avg(CASE WHEN a.layer = b.layer THEN 1.0 ELSE 0.0 END), 6) AS fraction FROM deps d JOIN parts a ON a.node = d.src JOIN parts b ON b.node = d.dst")
@@ -294,13 +300,17 @@ def two_layer_edges(spark, sf):
     return a.unionByName(b)
 
 
-@query()
+@query(
+    """RECURSIVE d AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey),
+      s AS (SELECT min(src) AS n FROM d), f AS (SELECT n FROM s UNION SELECT d.dst FROM f JOIN d ON d.src = f.n), b AS (SELECT n FROM s UNION SELECT d.src FROM b JOIN d ON d.dst = b.n), c AS (SELECT n FROM f INTERSECT SELECT n FROM b)
+    SELECT n AS node, (SELECT min(n) FROM c) AS component, (SELECT count(*) FROM c) AS size FROM c"""
+)
 def strong_components(spark, sf):
     """Strongly connected parts by consecutive lines of orders."""
     return g.strong_components(directed(spark, sf))
 
 
-@query("SELECT node, 'nation-0' AS component FROM (SELECT src AS node FROM org UNION SELECT dst FROM org)", base=_ORG)
+@query("SELECT node, (SELECT min(src) FROM (SELECT src FROM org UNION SELECT dst FROM org)) AS component FROM (SELECT src AS node FROM org UNION SELECT dst FROM org)", base=_ORG)
 def weak_components(spark, sf):
     """Connected components of parts, suppliers, nations and regions (the line items tie all together)."""
     return g.components(organisation(spark, sf))
@@ -316,3 +326,79 @@ def communities_greedy(spark, sf):
 def communities_labels(spark, sf):
     """Communities of parts, suppliers, nations and regions by label propagation."""
     return g.communities(organisation(spark, sf), method="labels")
+
+
+@query(f"{_IMPLIED} SELECT implied, count(DISTINCT owner) AS owners, count(*) AS ways FROM imp GROUP BY 1")
+def implied_clusters(spark, sf):
+    """Parts that nations imply without declaring them."""
+    return g.clusters(g.implied(_declared(spark, sf), depends(spark, sf)))
+
+
+@query(
+    """c AS (SELECT d.dst AS node, count(*) FILTER (WHERE a.layer = 'mechanism') AS mechanisms, count(*) FILTER (WHERE a.layer = 'accounting') AS accounting, count(*) FILTER (WHERE a.layer = 'failure-state') AS failures FROM deps d JOIN parts a ON a.node = d.src GROUP BY 1)
+    SELECT p.node, CAST(2.0 * mechanisms + 0.5 * accounting AS DOUBLE) AS weighted FROM parts p JOIN c USING (node) WHERE p.layer NOT IN ('mechanism', 'failure-state') AND mechanisms >= 3 AND accounting >= 2 AND failures >= 1"""
+)
+def hub_thresholds(spark, sf):
+    """Hubs that reach all thresholds, by weights of one's own."""
+    weights = {"mechanisms": 2.0, "accounting": 0.5, "failures": 0.0, "selectors": 0.0, "layers": 0.0}
+    found = g.hubs(parts(spark, sf), depends(spark, sf), weights=weights, least={"mechanisms": 3, "accounting": 2, "failures": 1})
+    return found.select("node", F.col("score").alias("weighted"))
+
+
+_SIDES = """side AS (SELECT 'links' AS graph, src, dst FROM x UNION ALL SELECT 'depends', src, dst FROM deps UNION ALL SELECT 'both', src, dst FROM (SELECT src, dst FROM x UNION SELECT src, dst FROM deps)),
+  und AS (SELECT DISTINCT graph, least(src, dst) AS a, greatest(src, dst) AS b FROM side WHERE src <> dst), u AS (SELECT graph, a AS src, b AS dst FROM und UNION ALL SELECT graph, b, a FROM und),
+  br AS (SELECT u.graph, u.src AS node, count(DISTINCT o.community) AS neighbour_communities, count(*) AS boundary_edges FROM u JOIN parts s ON s.node = u.src JOIN parts o ON o.node = u.dst WHERE s.community <> o.community GROUP BY 1, 2),
+  top AS (SELECT g.graph, p.node, p.community, coalesce(neighbour_communities, 0) AS neighbour_communities, coalesce(boundary_edges, 0) AS boundary_edges FROM parts p CROSS JOIN (VALUES ('links'), ('depends'), ('both')) g(graph) LEFT JOIN br ON br.node = p.node AND br.graph = g.graph)"""
+_SECOND = "x AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 2 WHERE a.l_partkey <> b.l_partkey)"
+
+
+def _topology(spark, sf) -> DataFrame:
+    items = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    after = items.select("l_orderkey", F.col("l_partkey").alias("dst"), (F.col("l_linenumber") - 2).alias("l_linenumber"))
+    second = items.join(after, ["l_orderkey", "l_linenumber"]).where("l_partkey <> dst").select(F.col("l_partkey").alias("src"), "dst")
+    by_brand, d = parts(spark, sf).select("node", "community"), depends(spark, sf)
+    return g.topology({"links": (by_brand, second), "depends": (by_brand, d), "both": (by_brand, second.unionByName(d))})
+
+
+@query(f"{_SECOND}, {_SIDES} SELECT * FROM top")
+def topology_rows(spark, sf):
+    """How far parts bridge brands by links, by dependencies and by both."""
+    return _topology(spark, sf)
+
+
+@query(f"{_SECOND}, {_SIDES} SELECT community, count(*) AS nodes, count(*) FILTER (WHERE neighbour_communities > 0) AS bridges, CAST(sum(boundary_edges) AS BIGINT) AS boundary_edges, round(avg(neighbour_communities), 6) AS mean_neighbours FROM top WHERE graph = 'depends' GROUP BY 1")
+def community_summary(spark, sf):
+    """Brands with their bridges."""
+    found = g.community_summary(g.bridges(parts(spark, sf).select("node", "community"), depends(spark, sf)))
+    return found.withColumn("mean_neighbours", F.round("mean_neighbours", 6))
+
+
+@query(
+    """RECURSIVE r AS (SELECT 'part-21' AS node, 0 AS hops UNION SELECT o.dst, r.hops + 1 FROM r JOIN org o ON o.src = r.node), m AS (SELECT node, min(hops) AS hops FROM r GROUP BY 1),
+      v AS (SELECT node, 0 AS level FROM m WHERE starts_with(node, 'region') UNION SELECT o.src, v.level + 1 FROM v JOIN org o ON o.dst = v.node WHERE o.src IN (SELECT node FROM m)), x AS (SELECT node, max(level) AS level FROM v GROUP BY 1)
+    SELECT m.node, CAST(hops AS INTEGER) AS hops, CAST(level AS INTEGER) AS level, hops = 1 AS direct, starts_with(m.node, 'region') AS missing FROM m JOIN x USING (node)""",
+    base=_ORG,
+)
+def trace_of_part(spark, sf):
+    """Everything part 21 rests on in dependency order; regions are no notes here."""
+    org = organisation(spark, sf)
+    return g.trace(org, spark.createDataFrame([("part-21",)], "node string"), org.select(F.col("src").alias("node")))
+
+
+@query("l AS (SELECT dst AS node, count(*) AS links FROM deps GROUP BY 1) SELECT node, layer, CASE layer WHEN 'primitive' THEN 0 WHEN 'first-order' THEN 1 WHEN 'mechanism' THEN 2 WHEN 'accounting' THEN 3 ELSE 4 END AS x, CAST(row_number() OVER (PARTITION BY layer ORDER BY node) - 1 AS INTEGER) AS y, round(2 + sqrt(coalesce(links, 0)), 6) AS radius FROM parts LEFT JOIN l USING (node)")
+def graph_layout(spark, sf):
+    """Where a drawing puts each part."""
+    linked = depends(spark, sf).groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("links"))
+    return g.layout(parts(spark, sf).join(linked, "node", "left")).withColumn("radius", F.round("radius", 6))
+
+
+@query("SELECT s.src, s.dst, s.n FROM (SELECT src, dst, n FROM links) s WHERE n > 1")
+def repeated_links(spark, sf):
+    """Links with their weight where it is more than one."""
+    return links(spark, sf).where("n > 1")
+
+
+@query("d AS (SELECT src AS node, count(*) AS degree FROM (SELECT src, dst FROM deps UNION ALL SELECT dst, src FROM deps) GROUP BY 1) SELECT * FROM d ORDER BY degree DESC, node DESC LIMIT 20")
+def top_degrees(spark, sf):
+    """The twenty parts of highest degree, ties by the larger name."""
+    return g.degrees(depends(spark, sf)).select("node", "degree").orderBy(F.desc("degree"), F.desc("node")).limit(20)

@@ -115,8 +115,8 @@ def latest_executions(spark, sf):
     return ledger.latest_execution(logs(spark, sf))
 
 
-_EVAL = """ev AS (SELECT seq, artifact_id, 'rs-' || k % 3 AS ruleset_id, CASE WHEN value < 10 THEN 'fail' WHEN value < 20 THEN 'warning' ELSE 'pass' END AS result, ts FROM led WHERE k % 2 = 0 AND event_type = 'validated'),
-  ch AS (SELECT artifact_id, 'inv-' || k % 5 AS invariant_id, CASE WHEN value < 5 THEN 'fail' ELSE 'pass' END AS status FROM led WHERE event_type = 'approved' AND k % 3 = 0)"""
+_EVAL = """ev AS (SELECT seq, artifact_id, 'rs-' || k % 3 AS ruleset_id, CASE WHEN value < 10 THEN 'fail' WHEN value < 20 THEN 'warning' ELSE 'pass' END AS result, ts FROM led WHERE event_type = 'validated'),
+  ch AS (SELECT artifact_id, 'inv-' || k % 5 AS invariant_id, CASE WHEN value < 5 THEN 'fail' ELSE 'pass' END AS status FROM led WHERE event_type = 'approved')"""
 
 
 def _checks(spark, sf):
@@ -147,10 +147,10 @@ def invariant_summaries(spark, sf):
     return ledger.invariant_summaries(_checks(spark, sf)[2])
 
 
-@query("SELECT seq, event_type, CAST(row_number() OVER (ORDER BY seq) AS INTEGER) AS step, lag(event_type) OVER (ORDER BY seq) AS previous FROM led WHERE artifact_id = 3")
+@query("SELECT seq, event_type, CAST(row_number() OVER (ORDER BY seq) AS INTEGER) AS step, lag(event_type) OVER (ORDER BY seq) AS previous, round(epoch(ts - lag(ts) OVER (ORDER BY seq)), 6) AS seconds FROM led WHERE artifact_id = 3")
 def audit_trail(spark, sf):
     """The history of artifact 3."""
-    return ledger.audit_trail(events(spark, sf), 3).select("seq", "event_type", "step", "previous")
+    return ledger.audit_trail(events(spark, sf), 3).select("seq", "event_type", "step", "previous", "seconds")
 
 
 @query("SELECT event_type, actor, count(*) AS n, count(DISTINCT artifact_id) AS artifacts, min(ts) AS first_at, max(ts) AS last_at, round(sum(value), 4) AS total FROM led GROUP BY 1, 2")
@@ -232,7 +232,17 @@ def change_classification(spark, sf):
     return found.select("note_id", *map(n, ["dependencies_added", "dependencies_removed", "links_added", "links_removed", "sections_added", "sections_removed"]), "ambiguity_delta", F.array_join("change_types", ",").alias("change_types"))
 
 
-@query()
+@query(
+    """b AS (SELECT * FROM st WHERE early), a AS (SELECT * FROM st WHERE NOT early),
+      j AS (SELECT coalesce(b.deps, []) AS bd, coalesce(a.deps, []) AS ad, coalesce(b.links, []) AS bl, coalesce(a.links, []) AS al, coalesce(b.sections, []) AS bs, coalesce(a.sections, []) AS s, b.role AS br, a.role AS ar FROM b FULL JOIN a ON a.note_id = b.note_id),
+      d AS (SELECT len(list_filter(ad, lambda x: NOT list_contains(bd, x))) AS da, len(list_filter(bd, lambda x: NOT list_contains(ad, x))) AS dr, list_filter(al, lambda x: NOT list_contains(ad, x)) AS fa, list_filter(bl, lambda x: NOT list_contains(bd, x)) AS fb,
+        len(list_filter(s, lambda x: NOT list_contains(bs, x))) AS sa, len(list_filter(bs, lambda x: NOT list_contains(s, x))) AS sr, br, ar FROM j),
+      k AS (SELECT dr - da AS delta, list_filter([CASE WHEN da > 0 THEN 'dependency_addition' END, CASE WHEN dr > 0 THEN 'dependency_removal' END, CASE WHEN len(list_filter(fa, lambda x: NOT list_contains(fb, x))) > 0 THEN 'link_addition' END,
+        CASE WHEN len(list_filter(fb, lambda x: NOT list_contains(fa, x))) > 0 THEN 'link_removal' END, CASE WHEN sa > 0 THEN 'section_addition' END, CASE WHEN sr > 0 THEN 'section_removal' END, CASE WHEN br IS DISTINCT FROM ar THEN 'role_change' END], lambda x: x IS NOT NULL) AS kinds FROM d),
+      u AS (SELECT unnest(CASE WHEN len(kinds) = 0 THEN ['unknown'] ELSE kinds END) AS change_type, delta FROM k)
+    SELECT change_type, count(*) AS n, CAST(sum(delta) AS BIGINT) AS ambiguity FROM u GROUP BY 1""",
+    base=_STATE,
+)
 def change_summary(spark, sf):
     """How often each type of change occurs."""
     return changes.summary(changes.classify(*_states(spark, sf)))

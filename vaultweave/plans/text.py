@@ -160,12 +160,7 @@ def md_tables(spark, sf):
 )
 def md_dependency_lines(spark, sf):
     """The last line of the dependency section on which each target stands."""
-    lines = docs(spark, sf, "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "t")).withColumn("line", F.col("p") + 1)
-    order = Window.partitionBy("doc_id").orderBy("line")
-    section = lines.withColumn("s", F.sum(F.col("t").startswith("## ").cast("int")).over(order))
-    head = section.where("s > 0").withColumn("head", F.first("t").over(Window.partitionBy("doc_id", "s").orderBy("line"))).where(F.col("head").rlike(r"^## Structural dependencies\s*$"))
-    found = head.select("doc_id", "line", F.explode(F.regexp_extract_all("t", F.lit(r"\[\[([^\]|#]+)"), F.lit(1))).alias("raw"))
-    return found.groupBy("doc_id", F.trim(F.lower("raw")).alias("link")).agg(F.max("line").alias("line"))
+    return docs(spark, sf, "text").select("doc_id", F.explode(md.dependency_lines(F.col("text"))).alias("link", "line"))
 
 
 @query(
@@ -210,11 +205,11 @@ def md_toc(spark, sf):
 _RUNS = r"list_filter(regexp_extract_all(lower(text), '[\pL\pN_]+'), lambda x: regexp_full_match(x, '[a-z]+'))"
 
 
-@query(f"""SELECT word, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest({_RUNS}) AS word FROM documents) GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3""")
+@query(f"""SELECT word, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest({_RUNS}) AS word FROM documents) GROUP BY 1""")
 def text_word_counts(spark, sf):
-    """Document and term frequency of the words that stand in three documents or more."""
+    """Document and term frequency of every word."""
     per = docs(spark, sf, "text").select("doc_id", F.explode(sg.words(F.col("text"))).alias("word")).groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf")).where("df >= 3")
+    return per.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf"))
 
 
 def _in(lexicon) -> str:
@@ -242,14 +237,14 @@ def _sum(phrases, bounded=True) -> str:
 
 
 @query(
-    f"""SELECT doc_id, {_sum(sg.NEGATIONS)} AS negations, {_sum(sg.COST)} AS cost, {_sum(sg.SPATIAL)} AS spatial, {_sum(sg.OPERATIONAL, False)} AS operational
+    f"""SELECT doc_id, {_sum(sg.NEGATIONS)} AS negations, {_sum(sg.COST)} AS cost, {_sum(['local', 'boundary', 'inside', 'beyond', 'within'])} + CAST(len(regexp_extract_all(lower(text), 'non-local')) AS INTEGER) AS spatial, {_sum(sg.OPERATIONAL, False)} AS operational
     FROM (SELECT doc_id, text, {_SPACED} AS t FROM documents WHERE text IS NOT NULL)"""
 )
 def text_phrase_counts(spark, sf):
     """Negations and operational, cost and spatial phrases of each document."""
     t = F.col("text")
     return docs(spark, sf, "text").where("text is not null").select(
-        "doc_id", sg.negations(t).alias("negations"), sg.count_phrases(t, sg.COST).alias("cost"), sg.count_phrases(t, sg.SPATIAL).alias("spatial"),
+        "doc_id", sg.negations(t).alias("negations"), sg.count_phrases(t, sg.COST).alias("cost"), sg.spatial(t).alias("spatial"),
         sg.count_phrases(t, sg.OPERATIONAL, bounded=False).alias("operational"),
     )
 
@@ -309,8 +304,10 @@ _CJK = r"\x{3040}-\x{309f}\x{30a0}-\x{30ff}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}\x{
 
 
 @query(
-    rf"""SELECT token, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[{_CJK}]|[^ \t\r\n{_CJK}]+')) AS token FROM documents)
-    GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5"""
+    rf"""WITH f AS (SELECT doc_id, 'content' AS field, text AS t FROM documents
+      UNION ALL SELECT doc_id, 'title', coalesce(nullif(trim(regexp_extract(text, '(?m)^# ([^\r\n]*)', 1)), ''), 'note-' || doc_id) FROM documents
+      UNION ALL SELECT doc_id, 'tags', array_to_string(list_filter(list_distinct(regexp_extract_all(text, '(?:^|\s)#([\pL\pN_/-]+)', 1)), lambda x: NOT regexp_matches(x, '^[0-9/]+$')), ' ') FROM documents)
+    SELECT field, token, doc_id, count(*) AS n FROM (SELECT field, doc_id, unnest(regexp_extract_all(lower(t), '[{_CJK}]|[^ \t\r\n{_CJK}]+')) AS token FROM f) GROUP BY 1, 2, 3"""
 )
 def search_index(spark, sf):
     """Postings of the search index: every token of each document's title, content and tags, and how often it stands there."""

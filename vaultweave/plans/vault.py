@@ -44,7 +44,7 @@ def vault(spark: SparkSession, sf: str) -> rules.Vault:
     )
     concepts = table(spark, sf, "concepts")
     own = table(spark, sf, "notes").select(F.lower("name").alias("name"), "kind", F.col("kind").alias("role"), "layer")
-    names = own.unionByName(concepts.select("name", F.lit("concept").alias("kind"), "role", "layer")).dropDuplicates(["name"])
+    names = own.unionByName(concepts.select("name", F.lit("concept").alias("kind"), "role", "layer")).groupBy("name").agg(F.min("kind").alias("kind"), F.min("role").alias("role"), F.min("layer").alias("layer"))
     aliases = concepts.select(F.explode("aliases").alias("alias"), F.col("name").alias("canonical")).select(F.lower("alias").alias("alias"), "canonical")
     return rules.Vault(notes, names, aliases)
 
@@ -162,7 +162,7 @@ def view_high_link(spark, sf):
 _FLAGS = ["plateau", "yoke", "gated-seam", "nested-handover", "hidden-notch"]
 
 
-@query("SELECT doc_id, " + ", ".join(f"CASE WHEN bool_or(link = '{f}') THEN 'yes' ELSE 'no' END AS {f.replace('-', '_')}" for f in _FLAGS) + " FROM l WHERE kind = 'domain' GROUP BY 1")
+@query("SELECT d.doc_id, " + ", ".join(f"CASE WHEN coalesce(bool_or(link = '{f}'), false) THEN 'yes' ELSE 'no' END AS {f.replace('-', '_')}" for f in _FLAGS) + " FROM d LEFT JOIN l ON l.doc_id = d.doc_id WHERE d.kind = 'domain' GROUP BY 1")
 def view_coverage(spark, sf):
     """Which concepts each domain note links to."""
     flags = {f.replace("-", "_"): views.has_link("links", f) for f in _FLAGS}
@@ -176,7 +176,7 @@ def view_by_kind(spark, sf):
 
 
 @query(
-    """c AS (SELECT doc_id, count(*) FILTER (WHERE link IN ('plateau', 'yoke', 'gated-seam', 'nested-handover', 'hidden-notch')) AS hits FROM l WHERE kind = 'domain' GROUP BY 1)
+    """c AS (SELECT d.doc_id, count(*) FILTER (WHERE link IN ('plateau', 'yoke', 'gated-seam', 'nested-handover', 'hidden-notch')) AS hits FROM d LEFT JOIN l ON l.doc_id = d.doc_id WHERE d.kind = 'domain' GROUP BY 1)
     SELECT CAST(5 - hits AS INTEGER) AS missing, count(*) AS n FROM c GROUP BY 1"""
 )
 def audit_domain_gaps(spark, sf):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vaultweave.functions.keys import blank_trim
+from vaultweave.session import exists
 
 
 def read_log(spark: SparkSession, path: str, schema: str, strict: bool = False) -> DataFrame:
@@ -34,7 +34,7 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 def read_exports(spark: SparkSession, folder: str, views: Sequence[str]) -> dict[str, DataFrame]:
     """The CSV exports of the views that are there, by name."""
-    return {v: spark.read.csv(f"{folder}/{v}.csv", header=True, multiLine=True, escape='"') for v in views if os.path.exists(f"{folder}/{v}.csv")}
+    return {v: spark.read.csv(f"{folder}/{v}.csv", header=True, multiLine=True, escape='"') for v in views if exists(spark, f"{folder}/{v}.csv")}
 
 
 def yes_no(column):

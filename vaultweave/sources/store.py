@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vaultweave.session import exists
+
 
 def store_content(spark: SparkSession, blobs: DataFrame, path: str) -> DataFrame:
     """Adds the texts of ``blobs`` (body) the store at ``path`` does not hold; returns (content_id) of all given.
@@ -15,7 +17,7 @@ def store_content(spark: SparkSession, blobs: DataFrame, path: str) -> DataFrame
     """
     named = blobs.where("body is not null").select(F.sha2("body", 256).alias("content_id"), "body").dropDuplicates(["content_id"])
     fresh = named
-    if _exists(spark, path):
+    if exists(spark, path):
         fresh = named.join(spark.read.parquet(path).select("content_id"), "content_id", "left_anti")
     fresh.withColumn("shard", F.substr("content_id", F.lit(1), F.lit(2))).write.mode("append").partitionBy("shard").parquet(path)
     return named.select("content_id")
@@ -34,15 +36,9 @@ def verify_content(rows: DataFrame) -> DataFrame:
     return rows.where(F.sha2("body", 256) != F.col("content_id")).select("content_id")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def write_graph(notes: DataFrame, links: DataFrame, depends: DataFrame, path: str, rebuild: bool = True) -> None:
     """Writes the graph's tables; ``rebuild`` replaces the notes, otherwise they are merged by ``note_id`` and only the edges replaced."""
-    if not rebuild and _exists(notes.sparkSession, f"{path}/notes"):
+    if not rebuild and exists(notes.sparkSession, f"{path}/notes"):
         old = notes.sparkSession.read.parquet(f"{path}/notes").withColumn("_new", F.lit(0))
         both = old.unionByName(notes.withColumn("_new", F.lit(1)), allowMissingColumns=True)
         last = F.row_number().over(Window.partitionBy("note_id").orderBy(F.desc("_new")))

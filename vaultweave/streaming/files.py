@@ -21,9 +21,21 @@ def debounce(events: DataFrame, path: str, ts: str, quiet: str, kind: str) -> Da
 
 def renames(deleted: DataFrame, created: DataFrame, content: str, path: str, within: str) -> DataFrame:
     """Pairs ``d``, ``c`` of a deletion and a later creation of the same content at another path within ``within``."""
-    d, c = deleted.alias("d"), created.alias("c")
     near = F.expr(f"c.ts >= d.ts AND c.ts <= d.ts + INTERVAL {within}")
-    return d.join(c, (F.col(f"d.{content}") == F.col(f"c.{content}")) & (F.col(f"d.{path}") != F.col(f"c.{path}")) & near)
+    same = (F.col(f"d.{content}") == F.col(f"c.{content}")) & (F.col(f"d.{path}") != F.col(f"c.{path}")) & near
+    if deleted.isStreaming or created.isStreaming:
+        return deleted.alias("d").join(created.alias("c"), same)
+    # A content of few values would meet all its rows; in buckets of time only those of the same or the next one meet.
+    bucket = lambda ts: F.floor(ts.cast("timestamp").cast("double") / _seconds(within))
+    d = deleted.withColumn("_bucket", F.explode(F.array(bucket(F.col("ts")), bucket(F.col("ts")) + 1))).alias("d")
+    c = created.withColumn("_bucket", bucket(F.col("ts"))).alias("c")
+    return d.join(c, (F.col("d._bucket") == F.col("c._bucket")) & same)
+
+
+def _seconds(interval: str) -> float:
+    """The length of an interval like ``10 minutes``."""
+    n, unit = interval.split()
+    return float(n) * {"millisecond": 0.001, "second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.lower().rstrip("s")]
 
 
 def _pending(state: str | None, kind: str) -> str | None:
