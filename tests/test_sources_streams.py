@@ -79,8 +79,9 @@ def test_streams(spark, tmp_path):
 def test_pending_stream(spark, tmp_path):
     src = tmp_path / "fs"
     src.mkdir()
-    rows = [("x", "created", 1, "h1"), ("x", "modified", 2, "h2"), ("y", "created", 3, "h"), ("y", "deleted", 4, "h"), ("z", "modified", 5, "k")]
-    (src / "0.json").write_text("\n".join(json.dumps(dict(zip(("path", "kind", "seq", "hash"), r))) for r in rows))
-    stream = spark.readStream.schema("path string, kind string, seq long, hash string").json(str(src))
-    run(files.pending_changes(stream).writeStream.outputMode("update").format("memory").queryName("fs").option("checkpointLocation", str(tmp_path / "c")).start())
+    rows = [("x", "created", 1, "h1", 100), ("x", "modified", 2, "h2", 100), ("y", "created", 3, "h", 100), ("y", "deleted", 4, "h", 100), ("z", "modified", 5, "k", 100)]
+    (src / "0.json").write_text("\n".join(json.dumps(dict(zip(("path", "kind", "seq", "hash", "ts"), r))) for r in rows))
+    (src / "1.json").write_text(json.dumps({"path": "later", "kind": "created", "seq": 6, "hash": "l", "ts": 900}))
+    stream = spark.readStream.schema("path string, kind string, seq long, hash string, ts long").json(str(src)).withColumn("ts", F.timestamp_seconds("ts"))
+    run(files.pending_changes(stream).writeStream.outputMode("append").format("memory").queryName("fs").option("checkpointLocation", str(tmp_path / "c")).start())
     assert {(r.path, r.kind, r.hash) for r in spark.table("fs").collect()} == {("x", "created", "h2"), ("z", "modified", "k")}

@@ -73,7 +73,8 @@ def implicit_dependencies(notes: DataFrame, names: DataFrame) -> DataFrame:
     low = F.lower(text)
     # One constant array, so the plan does not grow with the list.
     pairs = F.from_json(F.lit(json.dumps([{"v": v, "n": n} for v, n in spelt.items()])), "array<struct<v:string,n:string>>")
-    hits = F.transform(F.filter(pairs, lambda p: low.contains(p["v"])), lambda p: p["n"])
+    # Bound once: inside a lambda the section would be cut anew for every name.
+    hits = F.element_at(F.transform(F.array(low), lambda t: F.transform(F.filter(pairs, lambda p: t.contains(p["v"])), lambda p: p["n"])), 1)
     flat = lambda c: F.transform(c, lambda x: F.replace(F.lower(x), F.lit(" "), F.lit("-")))
     linked = F.regexp_extract_all(low, F.lit(r"\[\[([^\]|]+)"), F.lit(1))
     known = F.array_union(F.array_union(flat(F.coalesce("deps", F.array().cast("array<string>"))), linked), F.array(F.replace(F.lower("node"), F.lit(" "), F.lit("-"))))

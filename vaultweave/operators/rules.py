@@ -280,3 +280,72 @@ def per_file(results: DataFrame) -> DataFrame:
     rank = F.when(F.col("level") == "error", 0).when(F.col("level") == "warning", 1).otherwise(2)
     worst = F.element_at(F.array(F.lit("error"), F.lit("warning"), F.lit("info")), F.min(rank) + 1)
     return results.groupBy("file").agg(F.count(F.lit(1)).alias("n"), worst.alias("worst"), F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))
+
+
+def lacking_headings(notes: DataFrame, policy: DataFrame, level: str = "error") -> DataFrame:
+    """Hubs (name, content) that lack a heading their policy (name, headings) asks for, one row each; headings count wherever they stand."""
+    asked = notes.withColumn("_name", F.lower("name")).join(policy.select(F.col("name").alias("_name"), "headings"), "_name")
+    lack = F.filter("headings", lambda h: ~F.coalesce(F.col("content"), F.lit("")).contains(h))
+    found = asked.withColumn("_lacking", lack).where(F.size("_lacking") > 0)
+    return _results(found, Rule("hub-required-headings", "policy", severity=level, invariant=INVARIANT_OF["hub-required-headings"]), F.concat(F.lit("hub lacks: "), F.array_join("_lacking", ", ")))
+
+
+def ordered(results: DataFrame) -> DataFrame:
+    """Results as a report lists them: errors first, then by file and rule."""
+    rank = F.when(F.col("level") == "error", 0).when(F.col("level") == "warning", 1).otherwise(2)
+    return results.orderBy(rank, "file", "rule", "message")
+
+
+def by_file(results: DataFrame) -> DataFrame:
+    """(file, findings): all results of each file together, worst first."""
+    rank = F.when(F.col("level") == "error", 0).when(F.col("level") == "warning", 1).otherwise(2)
+    return results.groupBy("file").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "rule", "level", "message", "line"))).alias("findings"))
+
+
+def status(results: DataFrame, strict: bool = False) -> tuple[str, int]:
+    """The line a report ends with and the exit code: 1 for errors, in strict mode for warnings too."""
+    row = results.agg(F.count_if(F.col("level") == "error").alias("e"), F.count_if(F.col("level") == "warning").alias("w"), F.count_if(F.col("level") == "info").alias("i")).first()
+    code = 1 if row.e or (strict and row.w) else 0
+    return f"{'fail' if code else 'pass'}: {row.e} errors, {row.w} warnings, {row.i} notes", code
+
+
+def spans(notes: DataFrame, names: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(note_id, line, start, stop, link): where the broken links of each note stand, lines and columns from 0; a path before a name is looked through."""
+    known = names.select(F.lower("name").alias("_key"))
+    known = (known if aliases is None else known.unionByName(aliases.select(F.lower("alias").alias("_key")))).distinct()
+    lines = notes.where(F.col("content").contains("[[")).select("note_id", F.posexplode(F.split("content", "\n")).alias("line", "_t")).where(F.col("_t").contains("[["))
+    # Pieces between links carry the column along.
+    pieces = F.regexp_extract_all("_t", F.lit(r"\[\[[^\]]*\]\]|(?:(?!\[\[[^\]]*\]\]).)+"), F.lit(0))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,raw:string>>").alias("found"))
+    step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.when(p.startswith("[["), F.concat(acc["found"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(p)).alias("stop"), p.alias("raw"))))).otherwise(acc["found"]).alias("found"))
+    each = lines.select("note_id", "line", F.explode(F.aggregate(pieces, start, step, lambda acc: acc["found"])).alias("x"))
+    target = F.trim(F.regexp_extract("x.raw", r"\[\[([^\]|#]+)", 1))
+    named = each.select("note_id", "line", "x.start", "x.stop", target.alias("link"), F.lower(F.regexp_replace(F.substring_index(target, "/", -1), r"\.md$", "")).alias("_key")).where("link <> ''")
+    return named.join(known, "_key", "left_anti").select("note_id", "line", "start", "stop", "link")
+
+
+def cycle_paths(v: Vault, r: Rule) -> DataFrame:
+    """Dependency cycles, each as the path it takes from its smallest note back to it."""
+    from vaultweave.operators.graph import simple_cycles
+
+    found = simple_cycles(v.deps.select(F.lower("name").alias("src"), F.col("dep").alias("dst")), r.params.get("most", 8))
+    path = F.concat("cycle", F.slice("cycle", 1, 1))
+    return _results(found.where(F.size("cycle") > 1).withColumn("note_id", F.element_at("cycle", 1)), r, F.concat(_say(r, "dependency cycle"), F.lit(": "), F.array_join(path, " -> ")))
+
+
+PREDICATES["cycle_paths"] = cycle_paths
+
+
+def explain(rule_id: str) -> str:
+    """What a built-in rule looks for."""
+    for r in BUILT_IN:
+        if r.id == rule_id:
+            what = (PREDICATES[r.predicate].__doc__ or "").strip().splitlines()[0]
+            with_ = ", ".join(f"{k} = {v}" for k, v in r.params.items())
+            return f"{r.id} ({r.severity}, {r.invariant or 'structural'}): {what}" + (f" Here {with_}." if with_ else "")
+    raise LookupError(f"no rule {rule_id!r}; there are {', '.join(r.id for r in BUILT_IN)}")
+
+
+def without_failure_modes(projections: DataFrame) -> DataFrame:
+    """Projections whose failure modes are null or none."""
+    return projections.where(F.col("failure_modes").isNull() | (F.size("failure_modes") == 0))

@@ -49,25 +49,48 @@ def _pending(state: str | None, kind: str) -> str | None:
     return kind
 
 
-def pending_changes(events: DataFrame, path: str = "path", kind: str = "kind", seq: str = "seq", content: str = "hash") -> DataFrame:
-    """(path, kind, hash): what a watcher would emit for each path of a stream with ``outputMode('update')``.
+def pending_changes(events: DataFrame, path: str = "path", kind: str = "kind", seq: str = "seq", content: str = "hash", ts: str = "ts", quiet: str = "1 second", late: str = "10 seconds") -> DataFrame:
+    """(path, kind, hash): what a watcher would emit for each path of a stream in append mode.
 
-    State is kept per path: the pending kind and the last content.  A change
-    that leaves the content as it was emits nothing.
+    A path's events wait until the watermark (``late`` behind the latest event)
+    is ``quiet`` past its last one; what they come to together is emitted then.  A
+    creation that is deleted again meanwhile, in whatever micro-batch, emits
+    nothing, nor does a change that leaves the content as it was emitted last.
     """
+    wait = int(1000 * _seconds(quiet))
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        pending, last = state.get if state.exists else (None, None)
-        rows = pd.concat(list(batches)).sort_values(seq)
-        for k, h in zip(rows[kind], rows[content]):
-            if k == "modified" and h == last and pending is None:
-                continue
-            pending, last = _pending(pending, k), h
-        out = pd.DataFrame({path: [key[0]], "kind": [pending], "hash": [last]}) if pending else pd.DataFrame({path: [], "kind": [], "hash": []})
-        state.update((None, last))
-        yield out
-
-    return events.groupBy(path).applyInPandasWithState(step, f"{path} string, kind string, hash string", "pending string, last string", "update", "NoTimeout")
+        # What is pending, the content it leads to, the content emitted last, the time of the last event.
+        pending, now, last, at = state.get if state.exists else (None, None, None, 0)
+        out = []
+
+        def emit() -> None:
+            nonlocal pending, last
+            if pending and not (pending == "modified" and now == last):
+                out.append((key[0], pending, now))
+                last = None if pending == "deleted" else now
+            pending = None
+
+        if state.hasTimedOut:
+            emit()
+            if last is None:
+                state.remove()
+            else:
+                state.update((None, None, last, at))
+        else:
+            rows = pd.concat(list(batches)).sort_values(seq)
+            for k, h, t in zip(rows[kind], rows[content], rows[ts]):
+                ms = int(t.timestamp() * 1000)
+                if ms - at >= wait:  # it had been quiet before this one
+                    emit()
+                pending, now, at = _pending(pending, k), h, max(at, ms)
+            state.update((pending, now, last, at))
+            # A time already past would be refused.
+            state.setTimeoutTimestamp(max(at + wait, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[path, "kind", "hash"])
+
+    marked = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    return marked.groupBy(path).applyInPandasWithState(step, f"{path} string, kind string, hash string", "pending string, now string, last string, at long", "append", "EventTimeTimeout")
 
 
 def fold_pending(kinds: list[str]) -> str | None:
