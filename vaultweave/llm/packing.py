@@ -148,6 +148,26 @@ def pack(items: DataFrame, budgets: DataFrame, key: str, size: str, shard_items:
     return packed.select("budget", "bin", F.col("key").alias(key), "part", "start", F.col("size").alias(size))
 
 
+def faults(packed: DataFrame, items: DataFrame, budgets: DataFrame, key: str, size: str) -> DataFrame:
+    """One row per budget with what must not happen: (budget, capacity, items, lost, overfull, split, loose).
+
+    ``items`` is the number of items given; ``lost`` the size by which the parts
+    differ from the items, ``overfull`` the containers above the capacity,
+    ``split`` the items in several parts that would have fitted, ``loose`` whether
+    more containers were used than one and a hundredth of the least possible
+    number, beside one open for each shard.
+    """
+    caps = budgets.select("budget", "capacity").distinct()
+    given = items.agg(F.count(F.lit(1)).alias("items"), F.coalesce(F.sum(size), F.lit(0)).alias("_given"))
+    bins = packed.groupBy("budget", "bin").agg(F.sum(size).alias("_in"))
+    of_bins = bins.join(F.broadcast(caps), "budget").groupBy("budget").agg(F.count(F.lit(1)).alias("_bins"), F.sum("_in").alias("_packed"), F.count_if(F.col("_in") > F.col("capacity")).alias("overfull"), F.count_distinct(F.shiftright("bin", 32)).alias("_shards"))
+    parts = packed.groupBy("budget", key).agg(F.count(F.lit(1)).alias("_parts"), F.sum(size).alias("_whole")).join(F.broadcast(caps), "budget")
+    of_parts = parts.groupBy("budget").agg(F.count_if((F.col("_parts") > 1) & (F.col("_whole") <= F.col("capacity"))).alias("split"))
+    out = caps.join(of_bins, "budget", "left").join(of_parts, "budget", "left").join(F.broadcast(given)).na.fill(0)
+    least = F.ceil(F.col("_given") / F.col("capacity"))
+    return out.select("budget", "capacity", "items", (F.col("_given") - F.col("_packed")).alias("lost"), "overfull", "split", (F.col("_bins") > 1.01 * least + F.col("_shards")).alias("loose"))
+
+
 def fill_report(packed: DataFrame, budgets: DataFrame, size: str) -> DataFrame:
     """(budget, capacity, containers, used, fill): how full the containers are."""
     of = packed.groupBy("budget").agg(F.count_distinct("bin").alias("containers"), F.sum(size).alias("used"))

@@ -9,11 +9,11 @@ from vaultweave.functions.keys import blank_trim, is_wikilink, note_key
 from vaultweave.llm.canonical import canonical_entries, map_values, unmatched_report
 from vaultweave.llm.bpe import token_counts, token_ids
 from vaultweave.llm.cooccurrence import cooccurrences
-from vaultweave.llm.packing import fill_report, pack
+from vaultweave.llm.packing import faults, fill_report, pack
 from vaultweave.llm.truncation import truncated, truncation_report
 from vaultweave.operators.packed import split_packed
-from vaultweave.plans.problems import packed_values
-from vaultweave.session import table
+from vaultweave.plans.problems import field_sql, key_sql, packed_values, values_sql
+from vaultweave.session import table, written
 
 #: Where the public vocabularies lie; a parameter of every query that needs one.
 TOKENIZERS = "/opt/tokenizers"
@@ -70,6 +70,13 @@ def p7_fill(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> D
     return fill_report(p7_containers(spark, sf_dir, tokenizers), table(spark, sf_dir, "context_budgets"), "tokens")
 
 
+def p7_faults(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """What must not happen in any container: see :func:`vaultweave.llm.packing.faults`."""
+    sizes = written(token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", f"{tokenizers}/{BYTE_BPE}"), "sizes")
+    budgets = table(spark, sf_dir, "context_budgets")
+    return faults(pack(sizes, budgets, "doc_id", "tokens"), sizes, budgets, "doc_id", "tokens")
+
+
 def _truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     concepts = canonical_entries(table(spark, sf_dir, "concepts"), "concept_id", "name", "aliases")
     return truncated(table(spark, sf_dir, "documents"), "doc_id", "text", "source", [names[0] for _, names in concepts if names])
@@ -91,7 +98,18 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
+    "p7_faults": p7_faults,
     "p8_found": p8_found,
     "p8_sources": p8_sources,
 }
-ORACLES: dict[str, str] = {}
+
+_PAIRS = f"""WITH {values_sql(field_sql('papers.concepts_linked'))}, b AS (SELECT DISTINCT {key_sql('p.paper')} AS paper, {key_sql('v.value')} AS concept FROM vals v JOIN papers p ON p.row_id = v.row_id WHERE p.paper IS NOT NULL),
+  t AS (SELECT count(DISTINCT paper) AS n FROM b), c AS (SELECT concept, count(*) AS k FROM b GROUP BY 1),
+  q AS (SELECT x.concept AS item_a, y.concept AS item_b, count(*) AS n_ab FROM b x JOIN b y ON x.paper = y.paper AND x.concept < y.concept GROUP BY 1, 2),
+  pairs AS (SELECT item_a, item_b, n_ab, a.k AS n_a, d.k AS n_b, t.n, CAST(n_ab * t.n AS DOUBLE) / (CAST(a.k AS DOUBLE) * d.k) AS lift FROM q JOIN c a ON a.concept = item_a JOIN c d ON d.concept = item_b, t
+    WHERE n_ab >= greatest(5, 0.004 * t.n) AND n_ab * t.n >= 3 * a.k * d.k)"""
+ORACLES: dict[str, str] = {
+    "p4_found": f"{_PAIRS} SELECT item_a AS concept_a, item_b AS concept_b FROM pairs",
+    "p4_pairs": f"{_PAIRS} SELECT * FROM pairs",
+    "p7_faults": "SELECT budget, capacity, (SELECT count(*) FROM documents) AS items, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS split, false AS loose FROM context_budgets",
+}
