@@ -41,12 +41,11 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, out_degree, in_degree, degree): over distinct edges; self-loops count as out and in, not among the neighbours of ``degree``."""
-    distinct = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
-    out = distinct.select(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i"))
-    into = distinct.select(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"))
-    directed = out.unionByName(into).groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
-    near = both_ways(edges).groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
-    return directed.join(near, "node", "left").na.fill(0, ["degree"])
+    end = lambda a, b, o, i: F.struct(F.col(a).alias("node"), F.col(b).alias("other"), F.lit(o).alias("o"), F.lit(i).alias("i"))
+    # Each edge once from either end; repeats, and edges both ways, fold in one aggregation by pair.
+    ends = edges.where("src is not null and dst is not null").select(F.explode(F.array(end("src", "dst", 1, 0), end("dst", "src", 0, 1))).alias("e")).select("e.*")
+    pairs = ends.groupBy("node", "other").agg(F.max("o").alias("o"), F.max("i").alias("i"))
+    return pairs.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"), F.count_if(F.col("node") != F.col("other")).alias("degree"))
 
 
 def closure(edges: DataFrame, starts: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -599,3 +598,11 @@ def layout(nodes: DataFrame, order: str = "node") -> DataFrame:
 
     y = F.row_number().over(Window.partitionBy("layer").orderBy(order)) - 1
     return nodes.select("node", "layer", layer_rank(F.col("layer")).alias("x"), y.alias("y"), (2 + F.sqrt(F.coalesce("links", F.lit(0)))).alias("radius"))
+
+
+def pack(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node, level, reason, place): ``start`` (node) with all it depends on, dependencies first, and why each is there: itself, direct or transitive."""
+    inside = closure(edges, start)
+    levels = topological_levels(edges.join(inside.select(F.col("node").alias("src")), "src", "left_semi"), inside)
+    why = F.when(F.col("hops") == 0, "itself").when(F.col("hops") == 1, "direct").otherwise("transitive")
+    return numbered(levels.join(inside, "node").select("node", "level", why.alias("reason")), "level", "node", number="place")

@@ -176,6 +176,17 @@ def validation_summary(events: DataFrame) -> DataFrame:
     )
 
 
+def effective(events: DataFrame, content: str, key: str = "artifact_id", order: str = "seq") -> DataFrame:
+    """Events that change the content of their key; the first of each counts."""
+    was = F.lag(content).over(Window.partitionBy(key).orderBy(order))
+    return events.withColumn("_was", was).where(F.col("_was").isNull() | (F.col("_was") != F.col(content))).drop("_was")
+
+
+def latest_per(events: DataFrame, key: str = "artifact_id", order: str = "seq") -> DataFrame:
+    """The last event of each key, as an incremental rebuild needs it."""
+    return events.groupBy(key).agg(F.max_by(F.struct(*[c for c in events.columns if c != key]), order).alias("_r")).select(key, "_r.*")
+
+
 def latest_execution(logs: DataFrame) -> DataFrame:
     """(artifact_id, execution_id) of the last log of each artifact."""
     return logs.groupBy("artifact_id").agg(F.max_by("execution_id", "seq").alias("execution_id"))

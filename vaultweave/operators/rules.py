@@ -20,7 +20,7 @@ from vaultweave.functions.markdown import headings
 from vaultweave.functions.signals import layer_rank
 
 RESULT = "level string, rule string, file string, message string, line int, invariant string"
-#: The invariant each rule enforces; rules not named are structural.
+# The invariant each rule enforces; rules not named are structural.
 INVARIANT_OF = {
     "kind-violation": "decomposition", "layer-violation": "decomposition", "forbidden-edge": "governance", "missing-role": "governance",
     "responsibility-scope": "attribution", "missing-dependencies": "irreversibility", "mechanism-missing-residuals": "irreversibility", "hub-required-headings": "irreversibility",

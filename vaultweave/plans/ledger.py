@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultweave.operators import changes, ledger
@@ -175,8 +175,7 @@ def debounced_bursts(spark, sf):
 @query("s AS (SELECT *, lag(k) OVER (PARTITION BY artifact_id ORDER BY seq) AS was FROM led) SELECT seq, artifact_id, k FROM s WHERE was IS NULL OR was <> k")
 def effective_changes(spark, sf):
     """Events that change their artifact's content, repeats left out."""
-    order = Window.partitionBy("artifact_id").orderBy("seq")
-    return events(spark, sf).withColumn("was", F.lag("k").over(order)).where("was is null or was <> k").select("seq", "artifact_id", "k")
+    return ledger.effective(events(spark, sf), "k").select("seq", "artifact_id", "k")
 
 
 @query("SELECT d.seq AS deleted, c.seq AS created, d.k FROM led d JOIN led c ON c.k = d.k AND c.artifact_id <> d.artifact_id AND c.ts BETWEEN d.ts AND d.ts + INTERVAL 10 MINUTE WHERE d.event_type = 'rejected' AND c.event_type = 'created'")
@@ -191,7 +190,7 @@ def rename_pairs(spark, sf):
 @query("SELECT artifact_id, arg_max(event_type, seq) AS last_type, max(seq) AS last_seq FROM led GROUP BY 1")
 def latest_per_artifact(spark, sf):
     """The last change of each artifact, as an incremental rebuild needs it."""
-    return events(spark, sf).groupBy("artifact_id").agg(F.max_by("event_type", "seq").alias("last_type"), F.max("seq").alias("last_seq"))
+    return ledger.latest_per(events(spark, sf)).select("artifact_id", F.col("event_type").alias("last_type"), F.col("seq").alias("last_seq"))
 
 
 # Two states of customers: what they bought before and since a day.

@@ -68,12 +68,8 @@ def highlight_windows(spark, sf):
 )
 def pack_of_part(spark, sf):
     """Part 9 with all it depends on, dependencies first, and why each is there."""
-    org = organisation(spark, sf)
-    inside = g.closure(org, spark.createDataFrame([("part-9",)], "node string"))
-    kept = org.join(inside.select(F.col("node").alias("src")), "src", "left_semi")
-    levels = g.topological_levels(kept, inside)
-    why = F.when(F.col("hops") == 0, "itself").when(F.col("hops") == 1, "direct").otherwise("transitive")
-    return levels.join(inside, "node").select("node", "level", why.alias("reason")).withColumn("place", F.row_number().over(Window.orderBy("level", "node")))
+    found = g.pack(organisation(spark, sf), spark.createDataFrame([("part-9",)], "node string"))
+    return found.withColumn("place", F.col("place").cast("int"))
 
 
 @query(

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultweave.functions import markdown as md
 from vaultweave.functions import signals as sg
+from vaultweave.operators import texts
 from vaultweave.session import table
 
 QUERIES: dict = {}
@@ -124,11 +125,6 @@ def md_tags(spark, sf):
     return docs(spark, sf, "text").select(F.explode(md.inline_tags(F.col("text"))).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
-def numbered_lines(frame: DataFrame) -> DataFrame:
-    """(doc_id, line, text) with lines from 1."""
-    return frame.select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "t")).select("doc_id", (F.col("p") + 1).alias("line"), F.rtrim(F.col("t"), F.lit("\r")).alias("text"))
-
-
 @query(
     r"""WITH l AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
       t AS (SELECT doc_id, line, rtrim(ls[line], chr(13)) AS text, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS run FROM l
@@ -140,15 +136,7 @@ def numbered_lines(frame: DataFrame) -> DataFrame:
 )
 def md_tables(spark, sf):
     """Rows of markdown tables (three lines at least) that have as many cells as their header."""
-    lines = numbered_lines(docs(spark, sf, "text")).where(F.col("text").rlike(r"^\s*\|.*\|\s*$"))
-    order = Window.partitionBy("doc_id").orderBy("line")
-    runs = lines.withColumn("run", F.col("line") - F.row_number().over(order)).withColumn("cells", F.split(F.btrim(F.trim("text"), F.lit("|")), r"\|"))
-    within = Window.partitionBy("doc_id", "run").orderBy("line")
-    marked = runs.select(
-        "doc_id", "line", "cells", F.size("cells").alias("arity"), F.row_number().over(within).alias("k"),
-        F.count(F.lit(1)).over(Window.partitionBy("doc_id", "run")).alias("n"), F.first(F.size("cells")).over(within).alias("head"),
-    )
-    return marked.where("n >= 3 and k > 2 and arity = head").select("doc_id", "line", F.trim(F.element_at("cells", 1)).alias("first_cell"), "arity")
+    return texts.table_rows(docs(spark, sf, "text")).select("doc_id", "line", F.element_at("cells", 1).alias("first_cell"), F.size("cells").alias("arity"))
 
 
 @query(
@@ -194,12 +182,7 @@ def md_reading_time(spark, sf):
 )
 def md_toc(spark, sf):
     """Table of contents: headings to depth 3 of documents with more than one, anchors made unique."""
-    lines = numbered_lines(docs(spark, sf, "text")).where(F.col("text").rlike(r"^#{1,3} +[^ \r\n]"))
-    heads = lines.select("doc_id", "line", F.length(F.regexp_extract("text", "^(#{1,3}) ", 1)).alias("d"), F.trim(F.regexp_extract("text", r"^#{1,3} +([^\r\n]*)", 1)).alias("text"))
-    doc = Window.partitionBy("doc_id")
-    marked = heads.select("doc_id", "line", "text", F.count(F.lit(1)).over(doc).alias("n"), (F.col("d") - F.min("d").over(doc)).alias("depth"), md.heading_slug(F.col("text")).alias("base")).where("n > 1")
-    again = F.row_number().over(Window.partitionBy("doc_id", "base").orderBy("line")) - 1
-    return marked.withColumn("again", again).select("doc_id", "line", "depth", "text", F.concat("base", F.when(F.col("again") > 0, F.concat(F.lit("-"), F.col("again"))).otherwise(F.lit(""))).alias("slug"))
+    return texts.contents(docs(spark, sf, "text"))
 
 
 _RUNS = r"list_filter(regexp_extract_all(lower(text), '[\pL\pN_]+'), lambda x: regexp_full_match(x, '[a-z]+'))"
@@ -208,16 +191,24 @@ _RUNS = r"list_filter(regexp_extract_all(lower(text), '[\pL\pN_]+'), lambda x: r
 @query(f"""SELECT word, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest({_RUNS}) AS word FROM documents) GROUP BY 1""")
 def text_word_counts(spark, sf):
     """Document and term frequency of every word."""
-    per = docs(spark, sf, "text").select("doc_id", F.explode(sg.words(F.col("text"))).alias("word")).groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf"))
+    return texts.word_counts(docs(spark, sf, "text"))
 
 
 def _in(lexicon) -> str:
     return "[" + ", ".join(f"'{w}'" for w in lexicon) + "]"
 
 
+# The lists as the check has them, written out so that an error in the code's lists shows.
+_VERBS = {
+    "state": "remains persists exists is are was were stays continues remain persist exist stay continue",
+    "action": "removes constrains eliminates narrows forecloses reduces blocks prevents restricts remove constrain eliminate narrow foreclose reduce block prevent restrict",
+    "modal": "can cannot must may might should could would requires require",
+    "causal": "causes produces transforms converts creates generates leads results cause produce transform convert create generate lead result",
+}
+
+
 @query(
-    "SELECT doc_id, " + ", ".join(f"CAST(len(list_filter(w, lambda x: list_contains({_in(v)}, x))) AS INTEGER) AS {k}_verbs" for k, v in sg.VERBS.items()) + f" FROM (SELECT doc_id, {_RUNS} AS w FROM documents WHERE text IS NOT NULL)"
+    "SELECT doc_id, " + ", ".join(f"CAST(len(list_filter(w, lambda x: list_contains({_in(v.split())}, x))) AS INTEGER) AS {k}_verbs" for k, v in _VERBS.items()) + f" FROM (SELECT doc_id, {_RUNS} AS w FROM documents WHERE text IS NOT NULL)"
 )
 def text_verb_profile(spark, sf):
     """How many verbs of each class a document has."""
@@ -237,7 +228,7 @@ def _sum(phrases, bounded=True) -> str:
 
 
 @query(
-    f"""SELECT doc_id, {_sum(sg.NEGATIONS)} AS negations, {_sum(sg.COST)} AS cost, {_sum(['local', 'boundary', 'inside', 'beyond', 'within'])} + CAST(len(regexp_extract_all(lower(text), 'non-local')) AS INTEGER) AS spatial, {_sum(sg.OPERATIONAL, False)} AS operational
+    f"""SELECT doc_id, {_sum(['not', 'does not', 'is not', 'are not', 'do not', 'cannot', 'without', 'never'])} AS negations, {_sum(['requires?', 'expends?', 'pays?', 'burden', 'cost', 'effort'])} AS cost, {_sum(['local', 'boundary', 'inside', 'beyond', 'within'])} + CAST(len(regexp_extract_all(lower(text), 'non-local')) AS INTEGER) AS spatial, {_sum(['detected by', 'revealed when', 'test for', 'operationally', 'operational test'], False)} AS operational
     FROM (SELECT doc_id, text, {_SPACED} AS t FROM documents WHERE text IS NOT NULL)"""
 )
 def text_phrase_counts(spark, sf):
@@ -275,6 +266,7 @@ def text_scope(spark, sf):
     return docs(spark, sf, "text").where("text is not null").select("doc_id", sentences.alias("sentences"), nots.alias("nots"), ratio.cast("double").alias("ratio"))
 
 
+# Words that are no terms.
 STOP_WORDS = "the and for that this with from are was were not but has have had its it's you can into than then they their there which when while where what who will would".split()
 _TOKENS = r"regexp_extract_all(regexp_replace(text, '(?s)```.*?```', ' ', 'g'), '[a-zA-Z][a-zA-Z-]{2,}')"
 
@@ -289,15 +281,7 @@ _TOKENS = r"regexp_extract_all(regexp_replace(text, '(?s)```.*?```', ' ', 'g'),
 )
 def text_term_scores(spark, sf):
     """The five terms that mark each document most: tf (1 + sqrt(N / (df + 1))), rare and common terms left out."""
-    clean = F.regexp_replace("text", r"(?s)```.*?```", " ")
-    tokens = docs(spark, sf, "text").select("doc_id", F.explode(F.regexp_extract_all(F.lower(clean), F.lit("[a-z][a-z-]{2,}"), F.lit(0))).alias("token"))
-    tf = tokens.where(~F.col("token").isin(STOP_WORDS)).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    n = tf.agg(F.count_distinct("doc_id").alias("n"))
-    scored = tf.join(df, "token").join(F.broadcast(n)).where("df >= 2 and df <= n * 0.5")
-    scored = scored.withColumn("score", F.col("tf") * (1 + F.sqrt(F.col("n") / (F.col("df") + 1))))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.round("score", 9).desc(), "token"))
-    return scored.withColumn("rank", rank).where("rank <= 5").select("doc_id", "rank", "token", "tf", "df", F.round("score", 6).alias("score"))
+    return texts.term_scores(docs(spark, sf, "text"), STOP_WORDS)
 
 
 _CJK = r"\x{3040}-\x{309f}\x{30a0}-\x{30ff}\x{4e00}-\x{9fff}\x{ac00}-\x{d7af}\x{20000}-\x{2a6df}"
@@ -313,9 +297,7 @@ def search_index(spark, sf):
     """Postings of the search index: every token of each document's title, content and tags, and how often it stands there."""
     text = F.col("text")
     fields = {"title": md.title(text, F.concat(F.lit("note-"), F.col("doc_id"))), "content": text, "tags": F.array_join(md.inline_tags(text), " ")}
-    each = F.explode(F.array(*[F.struct(F.lit(name).alias("field"), of.alias("of")) for name, of in fields.items()])).alias("x")
-    tokens = docs(spark, sf, "text").select("doc_id", each).select(F.col("x.field").alias("field"), "doc_id", F.explode(sg.search_tokens(F.col("x.of"))).alias("token"))
-    return tokens.groupBy("field", "token", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return texts.postings(docs(spark, sf, "text"), fields)
 
 
 @query(r"""SELECT doc_id, sha256(text) AS content_id FROM documents WHERE text IS NOT NULL""")

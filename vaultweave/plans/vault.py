@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vaultweave.functions import markdown as md
 from vaultweave.functions import slugs
-from vaultweave.operators import resolve, rules, views
+from vaultweave.operators import resolve, rules, texts, views
 from vaultweave.session import table
 
 QUERIES: dict = {}
@@ -23,6 +23,9 @@ _BASE = rf"""d AS (SELECT doc_id, lower(note_kind) AS kind, nullif(trim(regexp_e
   al AS (SELECT lower(unnest(aliases)) AS alias, name AS canonical FROM concepts)"""
 
 
+_RANKS = "WHEN 'primitive' THEN 0 WHEN 'foundational' THEN 0 WHEN 'first-order' THEN 1 WHEN 'mechanism' THEN 2 WHEN 'accounting' THEN 3 WHEN 'selector' THEN 4 WHEN 'failure-state' THEN 4 WHEN 'meta-analytical' THEN 4 ELSE 99 END"
+
+
 def query(oracle: str | None = None, base: str = _BASE):
     def add(f):
         QUERIES[f.__name__] = f
@@ -98,8 +101,7 @@ def lint_by_invariant(spark, sf):
     rf"""e AS (SELECT doc_id, layer, trim(lower(unnest(deps))) AS dep FROM d WHERE kind = 'concept'), f AS (SELECT DISTINCT * FROM e),
       k AS (SELECT name, min(layer) AS dep_layer FROM n GROUP BY 1)
     SELECT CAST(doc_id AS VARCHAR) AS file, 'depends on higher layer ' || dep AS message FROM f JOIN k ON k.name = f.dep
-    WHERE CASE lower(dep_layer) {' '.join(f"WHEN '{x}' THEN {r}" for x, r in __import__('vaultweave.functions.signals', fromlist=['x']).LAYER_RANK.items())} ELSE 99 END
-      > CASE lower(f.layer) {' '.join(f"WHEN '{x}' THEN {r}" for x, r in __import__('vaultweave.functions.signals', fromlist=['x']).LAYER_RANK.items())} ELSE 99 END"""
+    WHERE CASE lower(dep_layer) {_RANKS} > CASE lower(f.layer) {_RANKS}"""
 )
 def rule_layers_of_notes(spark, sf):
     """Declared dependencies on a higher layer."""
@@ -292,6 +294,5 @@ def registry_sections(spark, sf):
 def ghost_terms(spark, sf):
     """Marked-up terms that no note defines."""
     v = vault(spark, sf)
-    spans = v.notes.select("note_id", F.explode(F.regexp_extract_all("content", F.lit(r"`([^`\r\n]{2,60})`"), F.lit(1))).alias("raw")).select("note_id", F.lower(F.trim("raw")).alias("term")).where("term <> ''")
-    free = spans.join(v.names.select(F.col("name").alias("term")), "term", "left_anti").join(v.aliases.select(F.col("alias").alias("term")), "term", "left_anti")
-    return free.groupBy("term").agg(F.count_distinct("note_id").alias("documents"))
+    known = v.names.select(F.col("name").alias("term")).unionByName(v.aliases.select(F.col("alias").alias("term")))
+    return texts.ghost_terms(v.notes.select(F.col("note_id").alias("doc_id"), F.col("content").alias("text")), known)
