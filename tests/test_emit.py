@@ -1,6 +1,7 @@
 """Engine events, configuration and source scans, reports, further rules and the pending stream."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +117,8 @@ def test_pending_stream(spark, tmp_path):
     ]
     for i, batch in enumerate(rows):
         (src / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(("path", "kind", "seq", "hash", "s"), r))) for r in batch))
+        # Files come in the order of their times.
+        os.utime(src / f"{i}.json", (1_700_000_000 + 10 * i, 1_700_000_000 + 10 * i))
     stream = spark.readStream.schema("path string, kind string, seq long, hash string, s double").option("maxFilesPerTrigger", 1).json(str(src))
     stamped = stream.withColumn("ts", F.timestamp_seconds(F.col("s") + 1_700_000_000)).drop("s")
     query = pending_changes(stamped).writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(out)

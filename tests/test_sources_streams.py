@@ -1,4 +1,5 @@
 import json
+import os
 import time
 
 from pyspark.sql import functions as F
@@ -81,6 +82,7 @@ def test_pending_stream(spark, tmp_path):
     src.mkdir()
     rows = [("x", "created", 1, "h1", 100), ("x", "modified", 2, "h2", 100), ("y", "created", 3, "h", 100), ("y", "deleted", 4, "h", 100), ("z", "modified", 5, "k", 100)]
     (src / "0.json").write_text("\n".join(json.dumps(dict(zip(("path", "kind", "seq", "hash", "ts"), r))) for r in rows))
+    os.utime(src / "0.json", (1_700_000_000, 1_700_000_000))
     (src / "1.json").write_text(json.dumps({"path": "later", "kind": "created", "seq": 6, "hash": "l", "ts": 900}))
     stream = spark.readStream.schema("path string, kind string, seq long, hash string, ts long").json(str(src)).withColumn("ts", F.timestamp_seconds("ts"))
     run(files.pending_changes(stream).writeStream.outputMode("append").format("memory").queryName("fs").option("checkpointLocation", str(tmp_path / "c")).start())
