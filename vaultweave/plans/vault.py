@@ -119,6 +119,41 @@ def rule_required_headings(spark, sf):
     return found.select("file", F.explode(F.split(F.replace("message", F.lit("missing: "), F.lit("")), ", ")).alias("heading"))
 
 
+@query("SELECT CAST(l.doc_id AS VARCHAR) AS file, 'links to ' || l.link AS message FROM l WHERE l.kind = 'paper' AND l.link IN (SELECT name FROM n GROUP BY 1 HAVING min(kind) = 'concept')")
+def rule_forbidden_edge(spark, sf):
+    """Links of papers to concepts, taken as forbidden."""
+    rule = rules.Rule("forbidden-edge", "forbidden_edge", {"source": "paper", "target": "concept"}, "warning")
+    return rules.run(vault(spark, sf), [rule]).select("file", "message")
+
+
+@query(
+    """r AS (SELECT name, min(role) AS role FROM (SELECT lower(name) AS name, kind AS role FROM notes UNION ALL SELECT name, role FROM concepts) GROUP BY 1)
+    SELECT CAST(l.doc_id AS VARCHAR) AS file, 'links to roles kept apart (' || string_agg(DISTINCT l.link, ', ' ORDER BY l.link) || ')' AS message FROM l JOIN r ON r.name = l.link WHERE l.kind = 'concept' AND r.role IN ('concept', 'projection') GROUP BY 1"""
+)
+def rule_outlinks_to_roles(spark, sf):
+    """Concepts that link to concepts or projections, taken as roles kept apart."""
+    rule = rules.Rule("apart", "outlinks_to_roles", {"roles": ["Concept", "projection "]})
+    return rules.run(vault(spark, sf), [rule]).select("file", "message")
+
+
+@query(
+    """SELECT CAST(doc_id AS VARCHAR) AS file, 'prescriptive tokens: ' || array_to_string(list_sort(list_filter(['must', 'nobody', 'should'], lambda t: contains(lower(text), t))), ', ') AS message FROM d
+    WHERE kind = 'concept' AND len(list_filter(['must', 'nobody', 'should'], lambda t: contains(lower(text), t))) > 0"""
+)
+def rule_prescriptive_tokens(spark, sf):
+    """Concepts whose text holds tokens kept out of them."""
+    rule = rules.Rule("tokens", "prescriptive_tokens", {"tokens": ["should", "must", "nobody"]})
+    return rules.run(vault(spark, sf), [rule]).select("file", "message")
+
+
+@query(
+    """SELECT CAST(doc_id AS VARCHAR) AS file, 'missing keys: ' || concat_ws(', ', CASE WHEN role IS NULL THEN 'role' END, CASE WHEN layer IS NULL THEN 'layer' END) AS message FROM d WHERE kind = 'concept' AND (role IS NULL OR layer IS NULL)"""
+)
+def rule_has_keys(spark, sf):
+    """Concepts whose front matter lacks a role or a layer."""
+    return rules.run(vault(spark, sf), [rules.Rule("keys", "has_keys", {"keys": ["role", "layer"]})]).select("file", "message")
+
+
 # -- views -------------------------------------------------------------------------
 
 CONCEPT_TOPOLOGY = views.View(["name", "layer", "vault"], filters=["kind = 'concept'"], group_by="layer", sort=["name"], footers={"name": "Filled"})
