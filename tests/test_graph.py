@@ -155,6 +155,36 @@ def test_communities_of_every_part(spark, small):
     assert sorted(sorted(x) for x in got.values()) == sorted(greedy({x for e in edges for x in e}, edges))
 
 
+def test_communities_of_any_size(spark, monkeypatch):
+    """A component above what a loop's rest may have is merged like any other; several components and single nodes beside it."""
+    monkeypatch.setattr(g, "COMPONENT_EDGES", 20)
+    rng = random.Random(17)
+    edges = sorted({(rng.randrange(30), 100 + rng.randrange(8)) for _ in range(110)}) + [(200 + i, 201 + i) for i in range(12)] + [(300, 301), (302, 303), (310, 310)]
+    alone = spark.createDataFrame([(400,), (401,)], "node long")
+    got = defaultdict(list)
+    for r in g.communities(frame(spark, edges), alone, method="greedy").collect():
+        got[r.community].append(r.node)
+    want = greedy({x for e in edges for x in e} | {400, 401}, edges)
+    assert [sorted(got[f"c{i + 1}"]) for i in range(len(want))] == want
+
+
+def test_greedy_merges_of_a_hub():
+    """Twenty thousand leaves around two hubs are merged at once: a merge moves only the pairs of the smaller side."""
+    import time
+
+    import numpy as np
+
+    n = 20_000
+    leaves = np.arange(2, n, dtype=np.int32)
+    x = np.concatenate([[0], np.where(leaves % 2, 1, 0)]).astype(np.int32)
+    y = np.concatenate([[1], leaves]).astype(np.int32)
+    degree = np.bincount(np.concatenate([x, y]))
+    order = np.lexsort((y, x, degree[x] * degree[y]))
+    began = time.perf_counter()
+    label = g._merge_greedily(x[order], y[order], len(x))
+    assert time.perf_counter() - began < 30 and label.tolist() == [0, 1, *(leaves % 2).tolist()]
+
+
 def test_fit_of_a_partition(spark):
     part = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "b")], "node long, community string")
     q = g.modularity(part, frame(spark, [(1, 2), (3, 4)])).first()

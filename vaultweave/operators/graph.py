@@ -10,18 +10,21 @@ many rounds are long and thin.  Larger rests stay distributed, however long.
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Iterator
 from functools import reduce
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush, heapreplace
 from itertools import count
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaultweave.operators.ordering import numbered
 from vaultweave.session import fits, written
 
-#: Edges a single task may hold: of a component for sequential methods, of what a loop leaves over.
+#: Edges a single task may hold: of a component searched for cycles, of what a loop leaves over.
 COMPONENT_EDGES = 2_000_000
 #: Rounds of a loop before a small rest is done by one task.
 ROUNDS = 24
@@ -339,40 +342,160 @@ def spread_labels(edges: DataFrame, nodes: DataFrame, rounds: int = 20) -> DataF
     return labels
 
 
-def _merge_greedily(nodes: list, near: dict, m: int) -> dict:
+def _around(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The neighbours of every node of the edges (x, y), one node's after the other's, and where each node's begin."""
+    ends = np.zeros(n + 1, np.int64)
+    step = 4_000_000
+    parts = [(p[s : s + step], q[s : s + step]) for p, q in ((x, y), (y, x)) for s in range(0, len(x), step)]
+    for p, _ in parts:
+        ends[1:] += np.bincount(p, minlength=n)
+    starts = np.cumsum(ends)
+    near, at = np.empty(2 * len(x), np.int32), starts[:-1].copy()
+    for p, q in parts:
+        order = np.argsort(p, kind="stable")
+        p = p[order]
+        near[at[p] + np.arange(len(p)) - np.searchsorted(p, p)] = q[order]
+        at += np.bincount(p, minlength=n)
+    return near, starts
+
+
+def _merge_greedily(x: np.ndarray, y: np.ndarray, m: int) -> np.ndarray:
     """Greedy modularity: the merge of two linked communities that gains most, while any gains; ties to the first pair.
 
-    Gains are whole numbers, 2 m² times those of modularity.  The heap keeps the
-    pairs that gain; a pair that has changed since it was put there is passed
-    over, and when most pairs have, the heap is made anew.
+    The edges of a component, ``x`` < ``y``, nodes numbered from 0, in the order
+    of the product of their degrees, then of ``x`` and ``y``; gives each node the
+    first of its community.  Gains are whole numbers, 2 m² times those of
+    modularity: 2 m for each edge between, less the product of the degrees.
+
+    Pairs of nodes not merged yet come in the order of the edges.  A community of
+    several keeps its pairs by the number of edges between: among those the
+    neighbour of the smallest degree gains most, whatever its own degree grows
+    to, so a merge moves no other pair.  Degrees only grow: a gain noted before is
+    never too low while the edges between are the same, and is made anew when it
+    comes first.  Nodes not merged yet hold nothing but their part of the edges.
     """
-    place = {n: i for i, n in enumerate(nodes)}
-    total = {i: len(near[n]) for n, i in place.items()}
-    inside = {i: [n] for n, i in place.items()}
-    between: dict[int, dict[int, int]] = {i: {place[x]: 1 for x in near[n]} for n, i in place.items()}
-    gains = lambda: [(-g, a, b) for a in between for b, e in between[a].items() if a < b and (g := 2 * m * e - total[a] * total[b]) > 0]
-    heap = gains()
-    heapify(heap)
-    most = 2 * len(heap) + 1000
-    while heap:
-        if len(heap) > most:
-            heap = gains()
-            heapify(heap)
-            most = 2 * len(heap) + 1000
-        gain, a, b = heappop(heap)
-        if a not in between or b not in between[a] or -gain != 2 * m * between[a][b] - total[a] * total[b]:
-            continue
-        inside[a] += inside.pop(b)
-        total[a] += total.pop(b)
-        mine, ta = between[a], total[a]
-        for c, e in between.pop(b).items():
-            del between[c][b]
-            if c != a:
-                mine[c] = between[c][a] = mine.get(c, 0) + e
-        for c, e in mine.items():
-            if (g := 2 * m * e - ta * total[c]) > 0:
-                heappush(heap, (-g, a, c) if a < c else (-g, c, a))
-    return {n: nodes[a] for a, ns in inside.items() for n in ns}
+    n, twice = int(y.max()) + 1, 2 * m
+    near, starts = _around(x, y, n)
+    degree = np.diff(starts)
+    total, first = degree.tolist(), list(range(n))
+    root, lone = np.arange(n, dtype=np.int32), np.ones(n, bool)
+    members: dict[int, list[int]] = {}
+    between: dict[int, dict[int, int]] = {}
+    #: Of a community, by edges between: a heap of neighbours as degree << 32 | first node, and the entry of ``heap`` for it.
+    waiting: dict[int, dict[int, list]] = {}
+    heap: list[tuple[int, int, int, int, int]] = []
+
+    def post(own: int, e: int, line: list) -> None:
+        gain, a, b = total[own] * (line[0][0] >> 32) - twice * e, first[own], line[0][0] & 0xFFFFFFFF
+        if gain >= 0:
+            del waiting[own][e]
+            return
+        line[1] = (gain, a, b, own, e) if a < b else (gain, b, a, own, e)
+        heappush(heap, line[1])
+
+    def offer(own: int, other: int, e: int) -> None:
+        if total[own] * total[other] < twice * e:
+            code = total[other] << 32 | first[other]
+            line = waiting[own].get(e)
+            if line is None:
+                line = waiting[own][e] = [[code], None]
+            else:
+                heappush(line[0], code)
+            if line[0][0] == code:
+                post(own, e, line)
+
+    def settle(own: int, e: int, codes: list[int]) -> int | None:
+        """The neighbour that gains most by ``e`` edges; passes over those that have changed since."""
+        mine = between[own]
+        while codes:
+            code = codes[0]
+            other = int(root[code & 0xFFFFFFFF])
+            if other == own or mine.get(other) != e:
+                heappop(codes)
+            elif code == (now := total[other] << 32 | first[other]):
+                return other
+            elif total[other] > total[own] and other in waiting:
+                heappop(codes)
+                offer(other, own, e)
+            else:
+                heapreplace(codes, now)
+        return None
+
+    def counted(a: int) -> tuple[list[int], list[int]]:
+        found, edges = np.unique(root[near[starts[a] : starts[a + 1]]], return_counts=True)
+        return found.tolist(), edges.tolist()
+
+    def begin(a: int) -> None:
+        """Makes a node a community of its own."""
+        found, edges = counted(a)
+        between[a], waiting[a], members[a], lone[a] = dict(zip(found, edges)), {}, [a], False
+        others = np.array(found)
+        others = others[lone[others]]
+        if codes := np.sort(degree[others] << 32 | others).tolist():
+            waiting[a][1] = [codes, None]
+            post(a, 1, waiting[a][1])
+
+    def merge(a: int, b: int) -> None:
+        if lone[a] and lone[b]:
+            a, b = (a, b) if total[a] >= total[b] else (b, a)
+            begin(a)
+        elif lone[a] or not lone[b] and len(between[a]) < len(between[b]):
+            a, b = b, a
+        if lone[b]:
+            links, inside = zip(*counted(b)), [b]
+            lone[b] = False
+        else:
+            links, inside = between.pop(b).items(), members.pop(b)
+            del waiting[b]
+        mine = between[a]
+        del mine[b]
+        total[a] += total[b]
+        first[a] = min(first[a], first[b])
+        root[inside] = a
+        members[a] += inside
+        for c, e in links:
+            if c == a:
+                continue
+            mine[c] = e = mine.get(c, 0) + e
+            if (theirs := between.get(c)) is not None:
+                del theirs[b]
+                theirs[a] = e
+                if total[c] > total[a]:
+                    offer(c, a, e)
+                    continue
+            offer(a, c, e)
+
+    at = 0
+    while True:
+        while at < len(x) and not (lone[x[at]] and lone[y[at]]):
+            both = lone[x[at : at + 1000]] & lone[y[at : at + 1000]]
+            at += int(both.argmax()) if both.any() else len(both)
+        pair = None
+        if at < len(x):
+            a, b = int(x[at]), int(y[at])
+            pair = (total[a] * total[b] - twice, a, b) if total[a] * total[b] < twice else None
+        best = None
+        while heap and best is None and (pair is None or heap[0] < pair):
+            entry = heappop(heap)
+            own, e = entry[3:]
+            line = waiting[own].get(e) if own in waiting else None
+            if line is None or line[1] is not entry:
+                continue
+            other = settle(own, e, line[0])
+            if other is None:
+                del waiting[own][e]
+                continue
+            a, b = first[own], first[other]
+            if (total[own] * total[other] - twice * e, min(a, b), max(a, b)) == entry[:3]:
+                best = own, other
+                heappop(line[0])
+            if line[0]:
+                post(own, e, line)
+            else:
+                del waiting[own][e]
+        if best is None and pair is None:
+            return np.array(first)[root]
+        merge(*(best or pair[1:]))
 
 
 def communities(edges: DataFrame, nodes: DataFrame | None = None, method: str = "greedy", rounds: int = 20) -> DataFrame:
@@ -381,8 +504,10 @@ def communities(edges: DataFrame, nodes: DataFrame | None = None, method: str =
     ``method`` is ``greedy`` (modularity) or ``labels`` (propagation, see
     :func:`spread_labels`).  Greedy merges are sequential, but decide within a
     connected component by the number of all edges alone, so components are
-    worked through in parallel and one above ``COMPONENT_EDGES`` is refused.  A
-    graph without edges is one community by ``greedy``, single ones by ``labels``.
+    worked through in parallel, each in one task whatever its size: nodes are
+    numbered and edges ordered before, so a task holds sixteen bytes an edge and
+    what its communities of several nodes are linked to.  A graph without edges
+    is one community by ``greedy``, single ones by ``labels``.
     """
     und = written(undirected(edges), "communities")
     every = [und.select(F.explode(F.array("a", "b")).alias("node")), edges.where("src is not null").select(F.col("src").alias("node"))]
@@ -390,28 +515,47 @@ def communities(edges: DataFrame, nodes: DataFrame | None = None, method: str =
     named = reduce(DataFrame.unionByName, every).distinct()
     if method == "labels":
         return _named(written(spread_labels(und.select(F.col("a").alias("src"), F.col("b").alias("dst")), named, rounds), "communities"))
-    m = und.count()
     parts = components(edges, nodes)
+    m = und.count()
     if m == 0:
         return parts.select("node", F.lit("c1").alias("community"))
-    sized = und.join(parts.select(F.col("node").alias("a"), "component"), "a")
-    biggest = sized.groupBy("component").count().agg(F.max("count")).first()[0]
-    if biggest and biggest > COMPONENT_EDGES:
-        raise ValueError(f"a component of {biggest} edges is too large for a sequential method")
-    lone = parts.select("component", F.col("node").alias("a"), F.lit(None).cast(parts.schema["node"].dataType).alias("b"))
-    rows = sized.select("component", "a", "b").unionByName(lone)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {n: set() for n in pdf.loc[pdf.b.isna(), "a"]}
-        for a, b in pdf.loc[pdf.b.notna(), ["a", "b"]].itertuples(index=False):
-            near[a].add(b)
-            near[b].add(a)
-        order = sorted(near)
-        label = _merge_greedily(order, near, m)
-        return pd.DataFrame({"node": order, "label": [label[n] for n in order]})
-
-    kind = parts.schema["node"].dataType.simpleString()
-    return _named(written(rows.groupBy("component").applyInPandas(one, f"node {kind}, label {kind}"), "communities"))
+    # A component's nodes stand together: each has a number of its own and a place in its component.
+    found = numbered(parts, "component", "node")
+    starts = found.groupBy("component").agg(F.min("number").alias("start"))
+    ends = und.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    placed = written(found.join(starts, "component").join(ends, "node", "left").select("node", "number", "start", (F.col("number") - F.col("start")).cast("int").alias("place"), "degree"), "communities")
+    low = placed.select(F.col("node").alias("a"), "start", F.col("place").alias("x"), F.col("degree").alias("da"))
+    high = placed.select(F.col("node").alias("b"), F.col("place").alias("y"), F.col("degree").alias("db"))
+    rows = und.join(low, "a").join(high, "b").select("start", "x", "y", (F.col("da") * F.col("db")).alias("product"))
+    whole = rows.repartition("start").sortWithinPartitions("start", "product", "x", "y").select("start", "x", "y")
+    labels = whole.mapInArrow(lambda batches: _merged(batches, m), "number long, label long")
+    return _named(written(placed.join(labels, "number", "left").select("node", F.coalesce("label", "number").alias("label")), "communities"))
+
+
+def _merged(batches: Iterator[pa.RecordBatch], m: int) -> Iterator[pa.RecordBatch]:
+    """(number, label) of the nodes of each component; its edges (start, x, y) stand together, ordered for :func:`_merge_greedily`."""
+
+    def label(start: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        x, y = (np.concatenate(c) for c in zip(*parts))
+        parts.clear()
+        first = _merge_greedily(x, y, m) + start
+        for s in range(0, len(first), 100_000):
+            part = first[s : s + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(part)) + (s + start), pa.int64()), pa.array(part, pa.int64())], ["number", "label"])
+
+    begun, parts = None, []
+    for batch in batches:
+        start, x, y = (c.to_numpy() for c in batch.columns)
+        cuts = [0, *(np.flatnonzero(start[1:] != start[:-1]) + 1).tolist(), len(start)]
+        for s, e in zip(cuts, cuts[1:]):
+            if s == e:
+                continue
+            if parts and begun != start[s]:
+                yield from label(begun, parts)
+            begun = int(start[s])
+            parts.append((x[s:e].copy(), y[s:e].copy()))
+    if parts:
+        yield from label(begun, parts)
 
 
 def _named(found: DataFrame) -> DataFrame:
